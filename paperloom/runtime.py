@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,12 @@ def _sweep() -> None:
             return
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffles that no live object refers to; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """A DataFrame written to the shared folder and read back: lineage ends here, and it survives lost executors."""
 
