@@ -54,10 +54,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without rows that repeat another's id and text; texts are shuffled only if some id is repeated."""
+    repeated = docs.groupBy(F.col(id_col).alias("_i")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return docs if repeated.isEmpty() else docs.dropDuplicates([id_col, text_col])
+
+
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that ``exact_groups`` keeps, with all their columns. Ids must be unique and not null."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """The rows that ``exact_groups`` keeps, with all their columns, and of rows that repeat an id and a text one."""
+    docs = without_repeats(docs, id_col, text_col)
+    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(gone["_gone"]) & (F.sha2(F.encode(normalised(docs[text_col]), "UTF-8"), 256) == gone["_gone_sha"])
+    return docs.join(gone, same, "left_anti")
 
 
 def op3_exact_dedup(spark, sf_dir):

@@ -87,15 +87,16 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = 16, period: i
     in each task. Rows that repeat an id are placed one by one, null ids too. Columns named slot and position are replaced. An empty table gives an empty result.
     """
     docs = docs.drop("slot", "position")
+    rows = docs.select(F.struct("*").alias("_all"), F.col(source_col).cast("string").alias("_from"), F.col(id_col).alias("_id"))
     counts = source_counts(docs, source_col)
     weights = {s: math.sqrt(n) for s, n in counts.items()} if weights is None else {s: max(0.0, weights.get(s, 0.0)) for s in counts}
     at = pfair(shares(weights, period))
     length = sum(map(len, at.values()))
     plan = docs.sparkSession.createDataFrame([(s, v) for s, v in at.items()], "_s string, _slots array<int>")
-    ranked = source_ranks(docs, sum(counts.values()), F.col(source_col).cast("string"), id_col)
+    ranked = source_ranks(rows, sum(counts.values()), F.col("_from"), "_id")
     placed = ranked.join(F.broadcast(plan), ranked["_source"].eqNullSafe(plan["_s"]))  # one row for each source
     slot = F.expr(f"(_rank div {int(block)}) div size(_slots)") * length + F.element_at("_slots", F.expr(f"cast((_rank div {int(block)}) % size(_slots) + 1 as int)"))
-    return placed.withColumn("slot", slot.cast("long")).withColumn("position", F.col("slot") * block + F.col("_rank") % block).select(*docs.columns, "slot", "position")
+    return placed.withColumn("slot", slot.cast("long")).withColumn("position", F.col("slot") * block + F.col("_rank") % block).select("_all.*", "slot", "position")
 
 
 def in_mixed_order(docs: DataFrame, weights: dict | None = None, block: int = 16, period: int = 1000) -> DataFrame:

@@ -1,0 +1,418 @@
+"""Each operator against a brute-force version, on awkward rows and on a small table."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from rows import frame, texts
+
+from paperloom.llm import byte_spans, exact_dedup, fingerprints, licences, mixing, near_dup, packing, quality, sentence_spans, warc
+from paperloom.runtime import scratch_path, table
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, SF, "documents")
+
+
+@pytest.fixture(scope="module")
+def plain(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+
+
+def both(spark, plain):
+    return [(frame(spark), texts()), (frame(spark, plain), plain), (frame(spark, []), [])]
+
+
+def same(found, wanted):
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(map(tuple, found), key=key) == sorted(map(tuple, wanted), key=key)
+
+
+# 1 packing
+
+
+def test_packing_holds_every_id_once(spark, plain):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.public_path())
+    for df, rows in both(spark, plain[:60]):
+        pieces, sequences = defaultdict(list), defaultdict(list)
+        for r in packing.pack(df, packing.public_path(), with_ids=True).collect():
+            ids = np.frombuffer(r["ids"], "<u4")
+            assert len(ids) == r["length"] > 0 and zlib.crc32(r["ids"]) == r["ids_crc32"]
+            pieces[r["doc_id"], r["doc_tokens"]].append((r["start"], ids.tolist()))
+            sequences[r["sequence_id"]].append((r["offset"], r["length"], r["sequence_length"]))
+        want = defaultdict(list)
+        for i, t in rows:
+            ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+            want[i, len(ids)].append(ids)
+        assert {k: sorted(x for _, p in v for x in p) for k, v in pieces.items()} == {k: sorted(x for d in v for x in d) for k, v in want.items()}
+        for k, v in want.items():
+            if len(v) == 1:
+                assert [x for _, p in sorted(pieces[k]) for x in p] == v[0]
+        for parts in sequences.values():
+            at = 0
+            for offset, length, whole in sorted(parts):
+                assert offset == at
+                at += length
+            assert at == whole <= 4096 and at & (at - 1) == 0
+
+
+def test_word_ids_are_the_tokenizers(plain):
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(packing.public_path()), packing.word_bpe(packing.public_path())
+    odd = ["It's DON'T we'll x'D ''s 's", "a\tb\rc\x0bd\x0ce\x1cf", "<|endoftext|> hi <|startoftext|>x", "é ́    İΣΑΣ ß ŒÆ ǅ 漢字 １２ ½ ² a1b22", "x...y,,z!?.a_b-c $5.00 A1B2 #@!", "", "\n\n  ", "o'clock's 'tis 'RE", "\x00\x01 a\x00b"]
+    for text in [t for _, t in plain[:40]] + odd:
+        assert np.frombuffer(encode(text), "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_bins_take_a_fixed_number_of_pieces():
+    assert packing.cuts(4096 * 2 + 2048 + 65) == [4096, 4096, 2048, 64, 1]
+    bins = packing.Bins()
+    out = [s for k in range(9) for s in bins.put((k, 0, 1024, b"\0" * 4096))]
+    assert [len(s) for s in out] == [4, 4]
+    assert [[p[2] for p in s] for s in bins.finish()] == [[1024]]
+
+
+# 2 mixing
+
+
+def test_pfair_lag_is_below_one_block():
+    for weights in ({"a": 1}, {"a": 5, "b": 3, "c": 1}, {str(k): (k + 1) ** 2 for k in range(17)}, {"a": 1000, "b": 1}):
+        slots = mixing.shares(weights, 200)
+        assert sum(slots.values()) == max(200, len(weights))
+        at, period = mixing.pfair(slots), sum(slots.values())
+        assert sorted(x for v in at.values() for x in v) == list(range(period))
+        for s, n in slots.items():
+            done = np.cumsum(np.bincount(at[s], minlength=period))
+            assert np.abs(done - np.arange(1, period + 1) * n / period).max() < 1
+
+
+def test_mix_places_each_row_once(spark, plain):
+    for df, rows in both(spark, plain):
+        got = mixing.mix(df, block=4, period=20).collect()
+        assert len(got) == len(rows) and len({r["position"] for r in got}) == len(rows)
+        assert all(r["position"] // 4 == r["slot"] and r["_source"] == "w" for r in got)
+        by = defaultdict(set)
+        for r in got:
+            by[r["slot"]].add(r["source"])
+        assert all(len(v) == 1 for v in by.values())
+
+
+def test_ranks_in_many_buckets(spark, docs):
+    rows = mixing.source_ranks(docs, docs.count(), docs["source"], "doc_id", per_bucket=10).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["_source"]].append(r["_rank"])
+    assert len(rows) == 200 and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+# 3 exact dedup
+
+
+def brute_exact(rows):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub("[ \t-\r]", "", t or "")].append((i, len(t or "")))
+    out = []
+    for norm, members in groups.items():
+        keep = sorted(members, key=lambda m: (-m[1], m[0] is None, m[0] or 0))[0][0]
+        out += [(i, keep, len(members), i == keep, hashlib.sha256(norm.encode()).hexdigest()) for i, _ in members]
+    return out
+
+
+def test_exact_groups(spark, plain):
+    for df, rows in both(spark, plain):
+        same(exact_dedup.exact_groups(df).collect(), brute_exact(rows))
+
+
+def test_exact_groups_with_colliding_hashes(spark, monkeypatch):
+    real = exact_dedup.F.substring
+    monkeypatch.setattr(exact_dedup.F, "substring", lambda c, a, n: exact_dedup.F.lit(b"x") if c == "_sha" else real(c, a, n))
+    same(exact_dedup.exact_groups(frame(spark)).collect(), brute_exact(texts()))
+
+
+def test_drop_exact_copies_keeps_one_of_each(spark):
+    kept = [re.sub("[ \t-\r]", "", r["text"] or "") for r in exact_dedup.drop_exact_copies(frame(spark)).collect()]
+    assert sorted(kept) == sorted({re.sub("[ \t-\r]", "", t or "") for _, t in texts()})
+
+
+# 4 quality
+
+
+def test_quality_on_held_out_rows(spark):
+    rows = [r.asDict() for r in quality.op4_quality(spark, "/root/testdata/sf0.01").collect()]
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, "/root/testdata/sf0.01", "labels").collect()}
+    assert len(rows) == 1000
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+    assert sum(p == q for p, q in held) / len(held) > 0.93
+
+
+def test_quality_on_awkward_rows(spark):
+    model = quality.fit(["good words here and there"] * 9, ["###!!! ### $$$"] * 9)
+    rows = quality.score(frame(spark), model).collect()
+    assert len(rows) == len(texts()) and all(0 <= r["score"] <= 1 for r in rows)
+    assert quality.score(frame(spark, []), model).count() == 0
+    assert quality.fit([], ["x"]).offset < 0 < quality.fit(["x"], []).offset
+    assert quality.fit(["x"], ["y"]).level == 3
+
+
+# 5 fingerprints
+
+
+def neighbours(rows):
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0]) + [r for r in rows if r[0] is None]
+    return order, order[1:] + order[:1]
+
+
+def test_fingerprints(spark, plain):
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(frame(spark, plain)).collect()}
+    order, after = neighbours(plain)
+    assert len(got) == len(plain)
+    for (i, t), (j, u) in zip(order, after, strict=True):
+        r, half = got[i], len(t) // 2
+        edited = t[: len(t) - half] + u[:half]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert (r["near_next"] == 1) == (r["fingerprint"] == got[j]["fingerprint"])
+    by = defaultdict(set)
+    for i, t in plain:
+        by["\n".join(sorted(x for x in t.split("\n") if x))].add(got[i]["fingerprint"])
+    assert all(len(v) == 1 for v in by.values()) and len({x for v in by.values() for x in v}) == len(by)
+    assert np.mean([r["near_edited"] for r in got.values()]) > np.mean([r["near_next"] for r in got.values()]) + 0.25
+
+
+def test_fingerprints_on_awkward_rows_and_small_buckets(spark, monkeypatch):
+    rows = fingerprints.fingerprints(frame(spark)).collect()
+    assert len(rows) == len(texts()) and all(0 <= r[k] <= 1 for r in rows for k in ("near_edited", "near_next"))
+    assert fingerprints.fingerprints(frame(spark, [])).count() == 0
+    real = fingerprints.with_next
+    monkeypatch.setattr(fingerprints, "with_next", lambda d: real(d, bucket_bytes=2000))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["fingerprint"], r["edited_sha256"])
+    assert sorted(map(key, fingerprints.fingerprints(frame(spark)).collect()), key=str) == sorted(map(key, rows), key=str)
+
+
+def test_fingerprints_add_and_take_away(spark):
+    F = fingerprints.F
+    rows = spark.createDataFrame([(1, "a b\nc d e\nf"), (2, "f\nc d e"), (3, "a b"), (4, "c d e\na b\nf")], "k int, t string")
+    v = {r["k"]: r["v"] for r in fingerprints.with_units(rows, F.col("t"), ["k"]).groupBy("k").agg(*fingerprints.vector_sums()).select("k", fingerprints.vector().alias("v")).collect()}
+    assert v[1] == v[4]
+    lit = lambda x: F.array(*map(F.lit, x))
+    r = spark.range(1).select(fingerprints.combine(lit(v[2]), lit(v[3])).alias("sum"), fingerprints.combine(lit(v[1]), lit(v[3]), -1).alias("rest")).first()
+    assert r["sum"] == v[1] and r["rest"] == v[2]
+
+
+# 6 near copies
+
+
+def brute_near(rows):
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                up[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None and sets[k]:
+            least[root(k)] = min(i, least.get(root(k), i))
+    return [(i, len(s), least.get(root(k)) if s else i) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+def test_near_groups(spark, plain):
+    for df, rows in both(spark, plain):
+        same(near_dup.near_groups(df).collect(), brute_near(rows))
+
+
+def test_near_groups_of_many_near_copies(spark, plain, monkeypatch):
+    monkeypatch.setattr(near_dup, "HOT", 3)
+    rng = np.random.default_rng(5)
+    words = " ".join(t for _, t in plain[:3]).split()[:400]
+    rows = []
+    for k in range(60):
+        w = words[: 60 + 60 * (k % 5)]
+        for x in rng.integers(0, len(w), rng.integers(0, 4)):
+            w = [*w[:x], f"new{rng.integers(9)}", *w[x + 1 :]]
+        rows.append((k, " ".join(w)))
+    same(near_dup.near_groups(frame(spark, rows)).collect(), brute_near(rows))
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(3, 900)).astype(np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 63, rng.integers(1, 90)).astype(np.uint64)])
+        apart = len(np.setxor1d(a, b))
+        assert near_dup.apart_at_least(near_dup.parity_sketch(a), near_dup.parity_sketch(b)) <= apart
+        if 7 * apart <= len(a) + len(b):
+            assert len(np.intersect1d(near_dup.slot_keys(a), near_dup.slot_keys(b))) > max(near_dup.droppable(len(a)), near_dup.droppable(len(b)))
+
+
+# 7 WARC
+
+
+def test_warc_round_trip(spark):
+    html = "<p>" + "x" * 150
+    rows = [(1, "u", html), (2, None, html), (3, "a\r\nb", None), (4, "u", "é" * 50_000 + "\r\n\r\nWARC/1.1\r\n"), (5, "u", "short"), (6, "u", "short"), (1, "u", html), (None, "u", html), (None, None, None), (7, "u", "y" * 99), (8, "u", "y" * 99), (9, "u", "y" * 100), (10, "u", "y" * 100)]
+    pages = spark.createDataFrame([(*r, "z", "w") for r in rows], "page_id long, url string, html string, record string, _first string")
+    path = scratch_path(spark, "t")
+    warc.write_warc(pages, path)
+    first = {html: 1, "y" * 100: 9}
+    want = []
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        to = first.get(h) if first.get(h) != i else None
+        want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if to else "response", to, True))
+    same(warc.read_warc(spark, path).collect(), want)
+    empty = scratch_path(spark, "t")
+    warc.write_warc(pages.limit(0), empty)
+    assert warc.read_warc(spark, empty).count() == 0
+
+
+def test_broken_segments_are_told():
+    blocks = [{"origin": "<urn:page:3:0.1>", "number": n, "total": None, "digest": "", "block": b"x"} for n in (1, 3)]
+    assert warc.reassembled(blocks) == (3, None, None, "response", None, False)
+    assert warc.dechunked(warc.chunked(b"ab\r\n" * 9000)) == b"ab\r\n" * 9000
+
+
+# 8 licences
+
+
+def brute_licence(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places = [(k, label) for phrase, label in licences.BASE.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+    return len(words), len(places), min((k for k, _ in places), default=None), max((k for k, _ in places), default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_licence_scan(spark, plain):
+    for df, rows in both(spark, plain):
+        got = licences.licence_scan(df).collect()
+        same([r[:6] for r in got], [(i, *brute_licence(t)) for i, t in rows])
+        assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in got)
+
+
+def test_licence_expressions():
+    e = licences.evaluate
+    assert e("MIT OR GPL-3.0-only") == ({"mit", "gpl"}, True)
+    assert e("MIT AND GPL-2.0+") == ({"mit", "gpl"}, False)
+    assert e("MIT OR GPL-2.0 AND LGPL-2.1") == ({"mit", "gpl", "lgpl"}, True)
+    assert e("(MIT OR GPL-2.0) AND LGPL-2.1") == ({"mit", "gpl", "lgpl"}, False)
+    assert e("Apache-2.0 WITH LLVM-exception") == ({"apache"}, True)
+    for bad in ("", "MIT OR", "AND MIT", "(MIT", "MIT)", "MIT GPL", "()", "WITH"):
+        assert e(bad) is None
+    n = licences.scan("x\n# SPDX-License-Identifier: Apache-2.0 OR MIT\nmit license mit license")
+    assert n[:4] == (13, 2, 9, 11) and n[4:7] == ("mit", "apache,mit", 1.0)
+
+
+# 9 byte spans
+
+
+def brute_bytes(rows, span):
+    starts = defaultdict(list)
+    raws = [(t or "").encode() for _, t in rows]
+    for d, raw in enumerate(raws):
+        for k in range(len(raw) - span + 1):
+            starts[raw[k : k + span]].append((d, k))
+    gone = [bytearray(len(r)) for r in raws]
+    for where in starts.values():
+        if len(where) > 1:
+            for d, k in where:
+                gone[d][k : k + span] = b"\1" * span
+    out = []
+    for (i, _), raw, flags in zip(rows, raws, gone, strict=True):
+        kept = bytes(b for b, f in zip(raw, flags, strict=True) if not f)
+        out.append((i, len(raw), len(raw) - len(kept), len(re.findall(b"\1+", bytes(flags))), kept))
+    return out
+
+
+def crafted(plain):
+    rng = np.random.default_rng(3)
+    shared = [t.replace("\n", " ")[:700] for _, t in plain[:6] if len(t) > 800]
+    rows = []
+    for k, (_, t) in enumerate(plain[:70]):
+        s = shared[k % len(shared)]
+        a = int(rng.integers(0, 150))
+        t = t[:2500]
+        x = int(rng.integers(0, len(t) + 1))
+        rows.append((k, t[:x] + s[a : a + int(rng.integers(380, 520))] + t[x:]))
+    return [*rows, (100, "ab" * 900), (101, "abc" * 500), (102, "q" * 399), (103, "q" * 400), (104, "q" * 401), (105, "é" * 300)]
+
+
+def test_repeated_bytes(spark, plain):
+    short = [r for r in texts() if len(r[1] or "") < 10_000]
+    long_ones = [(200, "x" * 50 + " ".join(map(str, range(9000)))), (201, " ".join(map(str, range(9000))))]
+    for rows in (short, crafted(plain), [*long_ones, *long_ones[:1]], []):
+        same(byte_spans.repeated_bytes(frame(spark, rows)).collect(), brute_bytes(rows, 400))
+
+
+def test_repeated_bytes_of_hot_cores(spark, plain):
+    rows = crafted(plain)
+    same(byte_spans.repeated_bytes(frame(spark, rows), hot=2).collect(), brute_bytes(rows, 400))
+
+
+def test_longest_previous():
+    from paperloom.llm.factors import longest_previous, prefix_ranks
+
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 60):
+        t = bytes(rng.integers(97, 99, n).astype(np.uint8))
+        brute = [max([0, *(next(k for k in range(n + 1) if i + k == n or t[i + k] != t[j + k]) for j in range(i))]) for i in range(n)]
+        assert longest_previous(t).tolist() == brute
+        for span in (1, 3, 8, 13):
+            ranks = prefix_ranks(np.frombuffer(t, np.uint8), span)
+            for i in range(n):
+                for j in range(n):
+                    if i + span <= n and j + span <= n:
+                        assert (ranks[i] == ranks[j]) == (t[i : i + span] == t[j : j + span])
+
+
+# 10 sentence spans
+
+
+def brute_spans(rows):
+    place = lambda r: (r[0], sentence_spans._tag(r[1]))
+    first = {}
+    for r in sorted((r for r in rows if r[0] is not None), key=place):
+        for h, k, _ in sentence_spans.spans(r[1]):
+            first.setdefault(h, (*place(r), k))
+    out = []
+    for i, t in rows:
+        marks = sentence_spans.sentences(t)
+        flags = bytearray(len(marks))
+        if i is not None:
+            for h, k, size in sentence_spans.spans(t):
+                if first[h] != (*place((i, t)), k):
+                    flags[k : k + size] = b"\1" * size
+        out.append((i, len(marks), sum(flags), sentence_spans.without(t or "", marks, flags) if sum(flags) else t or ""))
+    return out
+
+
+def test_repeated_spans(spark, plain):
+    for df, rows in both(spark, plain):
+        same(sentence_spans.repeated_spans(df).collect(), brute_spans(rows))
+
+
+def test_a_planted_passage_goes_where_it_comes_again(spark):
+    passage = "Here is a passage of some length. It has a second sentence with more words in it, and goes on. Then a third one ends it for good."
+    rows = [(k, f"Text {k} begins in its own way. {passage} And text {k} ends in its own way.") for k in range(5)]
+    got = {r["doc_id"]: r["kept_text"] for r in sentence_spans.repeated_spans(frame(spark, rows)).collect()}
+    assert [passage in got[k] for k in range(5)] == [True] + [False] * 4
+    assert all(got[k] == f"Text {k} begins in its own way. And text {k} ends in its own way." for k in range(1, 5))
