@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -17,32 +18,43 @@ CAPACITY = 4096
 LEAST = 64
 
 _memo: dict = {}
+_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class _Words(dict):
-    """Ids of a word as little-endian unsigned 32-bit bytes, encoded when first asked for. Starts anew when full, so its size is bounded."""
+    """Ids of a word as little-endian unsigned 32-bit bytes, encoded when first asked for.
+
+    It keeps at most two generations of MOST words: when the young one is full, it replaces the old one, from which words that are asked for again come back.
+    """
 
     MOST = 400_000
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
-        self.whole = False  # whether the word must go to the tokenizer as it stands
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.old: dict[str, bytes] = {}
 
     def encode(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
+    def parts(self, word: str) -> bytes:
+        """Words of ASCII letters are as the tokenizer's normalizer and pre-tokenizer leave them, so its model alone, which is faster, gives their ids."""
+        if word.isascii() and word.isalpha() and word.islower():
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        if word.isascii() and word.isprintable() and "'" not in word:
+            pieces = _PIECES.findall(word.lower())
+            if len(pieces) > 1:
+                return b"".join(map(self.__getitem__, pieces))
+        return self.encode(word)
+
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.MOST:
-            self.clear()
-        if len(word) > 1 and word[-1] in ".," and word.isascii() and word[-2].isalpha():
-            ids = self[word[:-1].lower()] + self[word[-1]]
-        elif word.isascii() and not word.islower() and "<" not in word:
-            low = word.lower()
-            ids = self[low] if low != word else self.encode(word)
-        else:
-            ids = self.encode(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.parts(word)
         if len(word) <= 64:
+            if len(self) >= self.MOST:
+                self.old = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
@@ -50,14 +62,13 @@ class _Words(dict):
 def word_bpe(path: str, end_id: int = 2) -> Callable[[str | None], bytes]:
     """A function from a text to its ids, as bytes, with ``end_id`` at the end.
 
-    The tokenizer of this file lower-cases, and its pre-tokenizer never joins what a blank or line feed divides, nor letters with a full stop or comma behind
-    them; so words are encoded once and remembered. Texts that may hold a special token's string are encoded as a whole.
+    The tokenizer of this file lower-cases, and its pre-tokenizer never joins what a blank or line feed divides, nor ASCII letters, digits and other
+    signs (contractions apart); so words are encoded once and remembered. Texts that may hold a special token's string are encoded as a whole.
     """
     if path not in _memo:
         from tokenizers import Tokenizer
 
         words = _Words(Tokenizer.from_file(path))
-        words[""] = b""
         _memo[path] = words
     words, tail = _memo[path], array("I", [end_id]).tobytes()
 
@@ -65,7 +76,7 @@ def word_bpe(path: str, end_id: int = 2) -> Callable[[str | None], bytes]:
         text = text or ""
         if "<|" in text:
             return words.encode(text) + tail
-        return b"".join(map(words.__getitem__, text.replace("\n", " ").split(" "))) + tail
+        return b"".join(map(words.__getitem__, filter(None, text.replace("\n", " ").split(" ")))) + tail
 
     return ids
 
