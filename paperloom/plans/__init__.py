@@ -1 +1 @@
-"""See README.md for what lives here."""
+"""The catalogue of queries."""

@@ -59,6 +59,12 @@ def _sweep() -> None:
             return
 
 
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Give Python workers at most ``rows`` rows at a time, so that long texts don't fill their memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffles that no live object refers to; else they stay until the driver happens to collect its garbage."""
     gc.collect()
