@@ -129,18 +129,18 @@ def bm25_idf(spark, sf):
     return terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("bm25_topk", f"WITH {BM25.format(scope="'all'")} SELECT query_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10")
+@query("bm25_topk", f"WITH {BM25.format(scope="'all'")} SELECT query_id, doc_id, round(score, 3) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10")
 def bm25_topk(spark, sf):
     """The ten best documents of each benchmark passage."""
     found = lexical.bm25_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 10)
-    return found.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return found.select("query_id", "doc_id", F.round("score", 3).alias("score"), "rank")
 
 
-@query("per_source_bm25", f"WITH {BM25.format(scope='source')} SELECT query_id, scope, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 3")
+@query("per_source_bm25", f"WITH {BM25.format(scope='source')} SELECT query_id, scope, doc_id, round(score, 3) AS score, row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 3")
 def per_source_bm25(spark, sf):
     """The three best documents of each passage within each source, weights within the source."""
     found = lexical.bm25_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 3, scope="source")
-    return found.select("query_id", "scope", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return found.select("query_id", "scope", "doc_id", F.round("score", 3).alias("score"), "rank")
 
 
 def _overlap_leg(spark, sf, k: int):
@@ -196,9 +196,9 @@ def hybrid_search(spark, sf):
     docs = table(spark, sf, "documents")
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     words_leg = retrieval.as_leg(lexical.bm25_search(docs, queries, 40, query="query_id"), "lexical")
-    vectors = dense.hashed_vectors_sparse(docs)
-    asked = dense.hashed_vectors_sparse(queries, doc="query_id")
-    dense_leg = retrieval.as_leg(retrieval.sparse_dense_search(vectors, asked, 40), "dense")
+    vectors = dense.hashed_embeddings(docs).select(F.col("doc_id").alias("id"), "vec")
+    asked = dense.hashed_embeddings(queries, doc="query_id").select(F.col("doc_id").alias("id"), "vec")
+    dense_leg = retrieval.as_leg(dense.search(vectors, asked, 40), "dense")
     hits = retrieval.hybrid([words_leg, dense_leg], queries, _chunks(spark, sf))
     return hits.select("query_id", "doc_id", "score", "rank")
 
