@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from paperloom.runtime import table
+from paperloom.runtime import bounded_batches, table
 
 # The base phrases and their labels.
 BASE = {
@@ -173,6 +173,7 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     says whether all tagged expressions can be met by permissive terms. Null and empty texts have no words,
     null places, empty labels and score 0. Repeated rows and null ids pass through; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from paperloom.runtime import table
+from paperloom.runtime import bounded_batches, table
 
 CAPACITY = 4096
 #: The last class: pieces of fewer ids than this stay whole and fill their bins end to end.
@@ -167,6 +167,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, least: int =
     Returns a row for each piece: the id column, start, length, ids_crc32, doc_tokens, sequence_id, offset and sequence_length, and with ``with_ids`` the piece's ids (little-endian 32-bit).
     ``sequence_id`` is the partition's number times 2^33 plus a counter.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, {SCHEMA}" + (", ids binary" if with_ids else "")

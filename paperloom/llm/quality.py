@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.runtime import table
+from paperloom.runtime import bounded_batches, table
 
 BLOCK = 512
 
@@ -120,6 +120,7 @@ def score(docs: DataFrame, model: CompressionModel, text_col: str = "text") -> D
 
     A null or empty text, whose difference is 0, gets the curve's value there. A column named ``score`` is replaced.
     """
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of dict_bytes each
     kept = [c for c in docs.columns if c != "score"]
     fields = docs.select(*kept).schema.add("score", "double")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.runtime import table
+from paperloom.runtime import bounded_batches, table
 
 #: Ends of sentences: white space behind a full stop, question or exclamation mark, and line ends.
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -71,15 +71,15 @@ def _split_first(cols: list[np.ndarray]) -> np.ndarray:
 
 
 def _spans_of(docs: DataFrame, run: int, short: int, long: int) -> DataFrame:
-    """A row for each span; of equal spans that a batch holds all but the first are marked as later already."""
+    """A row for each span; of equal spans among some 200,000 of a task all but the first are marked as later already."""
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         cols = [np.array(c, t) for c, t in zip(zip(*rows, strict=True), (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32), strict=True)]
         return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(_split_first(cols))], names=["_hi", "_lo", "_id", "_tag", "_at", "_size", "_later"])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for b in batches:
-            rows: list[tuple] = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = t.as_py()
                 tag = _tag(text)
@@ -88,8 +88,8 @@ def _spans_of(docs: DataFrame, run: int, short: int, long: int) -> DataFrame:
                 if len(rows) >= 200_000:
                     yield batch(rows)
                     rows = []
-            if rows:
-                yield batch(rows)
+        if rows:
+            yield batch(rows)
 
     return docs.mapInArrow(mapped, _ROWS)
 
@@ -120,13 +120,14 @@ def repeated_spans(docs: DataFrame, run: int = RUN, short: int = SHORT, long: in
     """Per row its whole text without the sentences that repeated spans cover: text, how many sentences it has and how many go.
 
     Every run of ``run`` consecutive sentences with ``short`` words or more is hashed, and shorter runs with ``long`` words or more, to 128 bits over the words alone.
-    Of equal spans anywhere, the first in the order of id and place stays; the sentences of all others go, with the white space behind them. Equal spans in one batch are settled
-    before the shuffle, so a span in a third of all rows sends a row a batch; settled rows are dealt by document.
+    Of equal spans anywhere, the first in the order of id and place stays; the sentences of all others go, with the white space behind them. Equal spans that a task holds together are settled
+    before the shuffle, so a span in a third of all rows sends a few rows a task; settled rows are dealt by document.
 
     Null and empty texts have no sentences. Rows that repeat an id and a text are cut alike, as one; rows that share an id only are told apart
     by their texts. Null ids take no part and keep their texts. An empty table gives an empty result. Other columns are ignored.
     Returns: the id column, n_sentences, n_removed, kept_text.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     found = _spans_of(rows.where("_id is not null"), run, short, long)
     dealt = found.repartition(F.when(F.col("_later"), F.xxhash64("_id")).otherwise(F.col("_hi")))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.runtime import scratch_path, table
+from paperloom.runtime import bounded_batches, scratch_path, table
 
 CRLF = b"\r\n"
 LEAST_REVISIT = 100
@@ -112,6 +112,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     Null payloads count as empty. Ids are whole numbers and stand for their rows: rows that repeat an id and a payload are both responses. A null id is written as none and revisits
     if an equal payload has an id. Smallest ids are combined before the shuffle, and only digests take part in finding them.
     """
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("_payload"))
     small = rows.select("_id", F.unhex(F.sha2("_payload", 256)).alias("_digest"), F.octet_length("_payload").alias("_n")).where(F.col("_n") >= least)
     first = small.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1 and _first is not null").select("_digest", "_first")
