@@ -205,8 +205,8 @@ def highlight(text: Column, query: Column, window: int = 220, most: int = 20) ->
     terms = F.filter(F.array_distinct(science_tokens(query)), lambda t: F.length(t) > 1)
     pattern = F.concat(F.lit(r"(?<![a-z0-9])(?:"), F.array_join(F.transform(terms, lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|"), F.lit(r")(?![a-z0-9])"))
     parts = F.split(folded, pattern)
-    ends = F.aggregate(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.expr("cast(array() as array<int>)"), lambda acc, p: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + F.length(p))))
-    far = F.aggregate(ends, F.expr("cast(array() as array<int>)"), lambda acc, p: F.when((F.size(acc) == 0) | (p >= F.element_at(acc, -1) + window // 2), F.concat(acc, F.array(p))).otherwise(acc))
+    ends = F.aggregate(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.expr("cast(array() as array<int>)"), lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(p))))
+    far = F.aggregate(ends, F.expr("cast(array() as array<int>)"), lambda acc, p: F.when((F.size(acc) == 0) | (p >= F.try_element_at(acc, F.lit(-1)) + window // 2), F.concat(acc, F.array(p))).otherwise(acc))
     start = lambda p: F.greatest(F.lit(0), p - window // 2)
     cut = F.transform(F.slice(far, 1, most), lambda p: F.struct(start(p).alias("start"), F.trim(F.regexp_replace(F.substring(text, start(p) + 1, F.lit(window)), r"^\S*\s|\s\S*$", "")).alias("snippet")))
     return F.when(F.size(terms) > 0, cut).otherwise(F.expr("cast(array() as array<struct<start:int,snippet:string>>)"))

@@ -8,6 +8,7 @@ from urllib.parse import urlsplit
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from paperloom.operators.storage import accepted_pdfs
 from paperloom.schemas import schema
@@ -55,7 +56,7 @@ def is_public_host(host: str | None) -> bool:
         return "." in host
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_public_url(urls: pd.Series) -> pd.Series:
     """The same of URLs: http or https, and a public host."""
 
