@@ -198,7 +198,7 @@ def hybrid_search(spark, sf):
     words_leg = retrieval.as_leg(lexical.bm25_search(docs, queries, 40, query="query_id"), "lexical")
     vectors = dense.hashed_embeddings(docs).select(F.col("doc_id").alias("id"), "vec")
     asked = dense.hashed_embeddings(queries, doc="query_id").select(F.col("doc_id").alias("id"), "vec")
-    dense_leg = retrieval.as_leg(dense.search(vectors, asked, 40), "dense")
+    dense_leg = retrieval.as_leg(dense.search(vectors, asked, 40, 1024, docs.count(), queries.count()), "dense")
     hits = retrieval.hybrid([words_leg, dense_leg], queries, _chunks(spark, sf))
     return hits.select("query_id", "doc_id", "score", "rank")
 
