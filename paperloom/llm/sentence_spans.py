@@ -16,7 +16,7 @@ from paperloom.runtime import bounded_batches, table
 #: Ends of sentences: white space behind a full stop, question or exclamation mark, and line ends.
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
 #: A run of RUN sentences counts from SHORT words on; runs of fewer sentences count from LONG words on.
-RUN, SHORT, LONG = 3, 10, 40
+RUN, SHORT, LONG = 3, 10, 20
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
