@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.components import components
 from paperloom.llm.exact_dedup import without_repeats
 from paperloom.llm.shingles import mixed, shingle_set
-from paperloom.runtime import Scratch, release, table
+from paperloom.runtime import Scratch, bounded_batches, release, small_batches, table
 
 #: Texts link when PER_CENT * union <= 100 * intersection. Bounds below follow from three quarters: sizes of linked sets differ by 4/3 at most,
 #: and their symmetric difference is at most a seventh of the sum of their sizes.
@@ -71,9 +71,9 @@ def slot_keys(s: np.ndarray) -> np.ndarray:
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
-    """Bits that each shingle flips one of; at least four times as many as shingles, a power of two."""
+    """Bits that each shingle flips one of; at least twice as many as shingles, a power of two."""
     bits = 64
-    while bits < 4 * len(s):
+    while bits < 2 * len(s):
         bits *= 2
     counts = np.bincount((s >> np.uint64(16)).astype(np.uint64) % np.uint64(bits), minlength=bits)
     return np.packbits(counts & 1, bitorder="little").tobytes()
@@ -118,8 +118,8 @@ def _keys(docs: DataFrame, salt: int) -> DataFrame:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         names = ["_key", "_node"]
+        keys, nodes, size = [], [], 0
         for b in batches:
-            keys, nodes, size = [], [], 0
             for t in b.column(1):
                 s = shingle_set(t.as_py())
                 if len(s) < 3 or (node := _class_of(s, salt)[0]) in seen:
@@ -132,14 +132,14 @@ def _keys(docs: DataFrame, salt: int) -> DataFrame:
                 if size > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=names)
                     keys, nodes, size = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=names)
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=names)
 
     return docs.mapInArrow(mapped, "_key long, _node long")
 
 
 def _bucketed(keys: DataFrame) -> DataFrame:
-    """Within partitions by key: pairs of classes that share a key (_key null), and the rows of hot keys (_b null).
+    """Within partitions by key: pairs of classes that share a key (_key null) and how many they share there, and the rows of hot keys (_b null).
 
     A task holds its partition as two arrays of numbers, and its distinct pairs.
     """
@@ -164,17 +164,30 @@ def _bucketed(keys: DataFrame) -> DataFrame:
             a.append(node[of[:, None] + left].ravel())
             b.append(node[of[:, None] + right].ravel())
         if a:
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            for at in range(0, len(pairs), 100_000):
-                p = pairs[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64()), pa.array(p[:, 0]), pa.array(p[:, 1])], names=["_key", "_a", "_b"])
+            a, b = np.concatenate(a), np.concatenate(b)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            shared = np.diff(np.r_[first, len(a)]).astype(np.int32)
+            for at in range(0, len(first), 100_000):
+                f = first[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(f), pa.int64()), pa.array(a[f]), pa.array(b[f]), pa.array(shared[at : at + 100_000])], names=["_key", "_a", "_b", "_shared"])
         hot = np.repeat(sizes > HOT, sizes)
         key, node = key[hot], node[hot]
         for at in range(0, len(key), 100_000):
             n = len(key[at : at + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(key[at : at + n]), pa.array(node[at : at + n]), pa.nulls(n, pa.int64())], names=["_key", "_a", "_b"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[at : at + n]), pa.array(node[at : at + n]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=["_key", "_a", "_b", "_shared"])
 
-    return keys.mapInArrow(mapped, "_key long, _a long, _b long")
+    return keys.mapInArrow(mapped, "_key long, _a long, _b long, _shared int")
+
+
+def _sharing_enough(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of pairs (_a, _b, _shared), those of sizes that can be linked that share as many keys as linked sets must: the lesser ``spare``, less the hot keys that the pair may share. ``nodes`` has (_node, _n, _hot)."""
+    left, right = nodes.toDF("_a", "_na", "_ha"), nodes.toDF("_b", "_nb", "_hb")
+    small = F.least("_na", "_nb")
+    enough = F.when(small < 16, F.lit(1)).otherwise(F.greatest(F.lit(1), 3 + F.floor(small / 20) - F.least("_ha", "_hb")))
+    summed = pairs.groupBy("_a", "_b").agg(F.sum("_shared").alias("_shared"))
+    return summed.join(left, "_a").join(right, "_b").where((4 * small >= 3 * F.greatest("_na", "_nb")) & (F.col("_shared") >= enough)).select("_a", "_b")
 
 
 def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -222,31 +235,56 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, salt: int) ->
     return both.mapInArrow(linked, "_a long, _b long").distinct()
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """From rows (_key, _node, _comp): distinct pairs of a task's classes that share a key and are not yet in one component."""
+def _counted(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and the sums of their numbers."""
+    order = np.lexsort((b, a))
+    a, b, w = a[order], b[order], w[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[first], b[first], np.add.reduceat(w, first)
+
+
+def _across(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """From rows (_key, _node, _comp, _n): pairs of classes of fitting sizes that share a key and are not yet in one component, and how many keys they share in a task.
+
+    Pairs are made in blocks of ``most`` at once and counted together, so that a task holds a few such blocks whatever a key's size.
+    """
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(b.column(k).to_numpy() for k in range(3)) for b in batches]
+        got = [tuple(b.column(k).to_numpy() for k in range(4)) for b in batches]
         if not got:
             return
-        key, node, comp = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((comp, key))
-        key, node, comp = key[order], node[order], comp[order]
-        done: set[tuple[int, int]] = set()
-        for start, end in zip(*(lambda s: (s, np.r_[s[1:], len(key)]))(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])), strict=True):
-            c = comp[start:end]
-            if c[0] == c[-1]:
-                continue
-            edges = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-            for e in edges[1:]:  # a component's classes against all before them
-                stop = int(edges[edges > e][0]) if (edges > e).any() else len(c)
-                for x in node[start + e : start + stop].tolist():
-                    done.update((min(x, y), max(x, y)) for y in node[start : start + e].tolist())
-        pairs = np.array(sorted(done), np.int64).reshape(-1, 2)
-        for at in range(0, len(pairs), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 100_000, 0]), pa.array(pairs[at : at + 100_000, 1])], names=["_a", "_b"])
+        key, node, comp, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        order = np.argsort(key, kind="stable")
+        key, node, comp, n = key[order], node[order], comp[order], n[order]
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        held, size = [], 0
+
+        def rows_of(pairs: tuple) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(pairs[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in pairs], names=["_a", "_b", "_shared"])
 
-    return rows.mapInArrow(mapped, "_a long, _b long")
+        for start, end in zip(heads.tolist(), [*heads[1:].tolist(), len(key)], strict=True):
+            if comp[start] == comp[end - 1] and (comp[start:end] == comp[start]).all():
+                continue
+            step = max(1, most // (end - start))
+            for at in range(start, end, step):
+                i, j = np.arange(at, min(at + step, end))[:, None], np.arange(start, end)[None, :]
+                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                x, y = np.nonzero((j > i) & (comp[i] != comp[j]) & (4 * small >= 3 * large))
+                x, y = node[at + x], node[start + y]
+                held.append((np.minimum(x, y), np.maximum(x, y), np.ones(len(x), np.int64)))
+                size += len(x)
+                if size > most:
+                    held = [_counted(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    if size > most // 2:
+                        yield from rows_of(held[0])
+                        held, size = [], 0
+        if size:
+            yield from rows_of(_counted(*(np.concatenate(c) for c in zip(*held, strict=True))))
+
+    return rows.mapInArrow(mapped, "_a long, _b long, _shared long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,6 +302,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     spark = docs.sparkSession
+    bounded_batches(spark)
     for salt in range(8):
         sets = Scratch(_sets(docs, salt), "near-sets")
         nodes = sets.df.where("_node is not null").groupBy("_node").agg(F.min("_id").alias("_doc"), F.min("_n").alias("_n"), F.min("_check").alias("_c1"), F.max("_check").alias("_c2"), F.any_value("_sketch").alias("_sketch"))
@@ -276,25 +315,36 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = Scratch(_bucketed(_keys(docs, salt).repartition(parts, "_key")), "near-found")
     release(spark)
 
-    direct = found.df.where("_b is not null").select("_a", "_b").distinct()
     hot = found.df.where("_b is null").select("_key", F.col("_a").alias("_node"))
     many = hot.groupBy("_node").agg(F.count(F.lit(1)).alias("_hot")).join(nodes.df.select("_node", "_n"), "_node")
+    light = nodes.df.select("_node", "_n").join(many.select("_node", "_hot"), "_node", "left").select("_node", "_n", F.coalesce("_hot", F.lit(0)).alias("_hot"))
+    direct = _sharing_enough(found.df.where("_b is not null").select("_a", "_b", "_shared"), light)
     kept = F.col("_hot") > F.when(F.col("_n") < 16, F.lit(0)).otherwise(2 + F.expr("(3 * _n div 4) div 20"))
-    held = Scratch(hot.join(many.where(kept).select("_node"), "_node").select("_key", "_node"), "near-hot")
+    held = Scratch(hot.join(many.where(kept).select("_node", "_n"), "_node").select("_key", "_node", "_n"), "near-hot")
     firsts = held.df.groupBy("_key").agg(F.min("_node").alias("_a"))
     stars = held.df.join(firsts, "_key").where("_a < _node").select("_a", F.col("_node").alias("_b")).distinct()
 
     survivors = Scratch(_filtered(direct.union(stars).distinct(), nodes.df), "near-pairs")
-    links = Scratch(_verified(survivors.df, nodes.df, docs, salt), "near-links")
+    release(spark)
+    with small_batches(spark, 32):  # rows hold whole sets
+        links = Scratch(_verified(survivors.df, nodes.df, docs, salt), "near-links")
     release(spark)
     comps = components(links.df)
     if not held.df.isEmpty():
-        placed = held.df.join(comps, "_node", "left").select("_key", "_node", F.coalesce("_comp", "_node").alias("_comp"))
-        rest = _across(placed.repartition("_key")).distinct().join(survivors.df, ["_a", "_b"], "left_anti")
-        rest = Scratch(_filtered(rest, nodes.df), "near-rest")
+        placed = held.df.join(comps, "_node", "left").select("_key", "_node", F.coalesce("_comp", "_node").alias("_comp"), "_n")
+        across = _across(placed.repartition("_key")).groupBy("_a", "_b").agg(F.sum("_shared").alias("_hot_shared"))
+        told = found.df.where("_b is not null").groupBy("_a", "_b").agg(F.sum("_shared").alias("_shared"))
+        sizes = nodes.df.select("_node", "_n")
+        small = F.least("_na", "_nb")
+        enough = F.when(small < 16, F.lit(1)).otherwise(3 + F.floor(small / 20))
+        summed = across.join(told, ["_a", "_b"], "left").withColumn("_shared", F.col("_hot_shared") + F.coalesce("_shared", F.lit(0)))
+        summed = summed.join(sizes.toDF("_a", "_na"), "_a").join(sizes.toDF("_b", "_nb"), "_b").where(F.col("_shared") >= enough)
+        rest = Scratch(_filtered(summed.select("_a", "_b").join(survivors.df, ["_a", "_b"], "left_anti"), nodes.df), "near-rest")
         if not rest.df.isEmpty():
-            more = Scratch(_verified(rest.df, nodes.df, docs, salt), "near-more")
+            with small_batches(spark, 32):
+                more = Scratch(_verified(rest.df, nodes.df, docs, salt), "near-more")
             comps = components(links.df.union(more.df))
+    release(spark)
     groups = nodes.df.select("_node", "_doc").join(comps, "_node", "left").select("_node", "_doc", F.coalesce("_comp", "_node").alias("_comp"))
     least = groups.groupBy("_comp").agg(F.min("_doc").alias("component_id"))
     named = groups.join(least, "_comp").select("_node", "component_id")

@@ -13,7 +13,7 @@ class _Hashes(dict):
     """Hashes of words; starts anew when full, so its size is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
