@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from paperloom.runtime import bounded_batches, table
 
 #: Ends of sentences: white space behind a full stop, question or exclamation mark, and line ends.
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
-#: A run of RUN sentences counts from SHORT words on; runs of fewer sentences count from LONG words on.
+#: Runs of RUN sentences or more count from SHORT words on; runs of fewer sentences count from LONG words on.
 RUN, SHORT, LONG = 3, 10, 20
 
 
@@ -32,7 +33,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 
 
 def spans(text: str | None, run: int = RUN, short: int = SHORT, long: int = LONG) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, how many) of every run of ``run`` sentences and of every shorter run of many words."""
+    """(hash, first sentence, how many) of every run of ``run`` sentences, of every shorter run of many words, and of the ``longer`` runs that short sentences need."""
     text = text or ""
     marks = sentences(text)
     parts = [text[a:b].split() for a, b in marks]
@@ -47,9 +48,39 @@ def spans(text: str | None, run: int = RUN, short: int = SHORT, long: int = LONG
             if words >= least:
                 out.append((xxhash.xxh3_128_intdigest(b"".join(digests[k : k + size])), k, size))
             words -= sizes[k]
+    for first, last in longer(sizes, run, short):
+        worded = [digests[k] for k in range(first, last + 1) if sizes[k]]
+        out.append((xxhash.xxh3_128_intdigest(b"".join(worded)), first, last + 1 - first))
     return out
 
 
+def longer(sizes: list[int], run: int, short: int) -> list[tuple[int, int]]:
+    """First and last sentence of the shortest runs of ``run`` worded sentences or more that reach ``short`` words, from every sentence on and up to
+    every sentence, but for those of ``run`` sentences that stand together.
+
+    Any run of so many sentences and words is covered by those that lie in it: a sentence from which, and up to which, there is too little of
+    the run lies in the shortest one up to the run's end. Sentences without words aren't counted, so a run has ``run`` + ``short`` at most to hash.
+    """
+    worded = [k for k, n in enumerate(sizes) if n] if 0 in sizes else range(len(sizes))
+    sums = [0, *itertools.accumulate(sizes[k] for k in worded)]
+    found: set[tuple[int, int]] = set()
+    for k in range(len(worded) - run + 1):
+        if sums[k + run] - sums[k] >= short:
+            if worded[k + run - 1] - worded[k] >= run:
+                found.add((worded[k], worded[k + run - 1]))
+            continue
+        first, last = k, k + run
+        while last < len(worded) and sums[last] - sums[k] < short:
+            last += 1
+        if sums[last] - sums[k] >= short:
+            found.add((worded[k], worded[last - 1]))
+        while first and sums[k + run] - sums[first] < short:
+            first -= 1
+        if sums[k + run] - sums[first] >= short:
+            found.add((worded[first], worded[k + run - 1]))
+    return sorted(found)
+
+
 def _tag(text: str | None) -> int:
     """A number that tells apart texts whose rows share an id."""
     return xxhash.xxh32_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 31)
@@ -120,6 +151,8 @@ def repeated_spans(docs: DataFrame, run: int = RUN, short: int = SHORT, long: in
     """Per row its whole text without the sentences that repeated spans cover: text, how many sentences it has and how many go.
 
     Every run of ``run`` consecutive sentences with ``short`` words or more is hashed, and shorter runs with ``long`` words or more, to 128 bits over the words alone.
+    Where sentences are so short that ``run`` of them have fewer words, the run goes on until it has ``short`` (``longer``), so every repeated run of ``run`` sentences or more and ``short`` words
+    or more goes. Sentences are the unit: words that repeat inside sentences that differ stay.
     Of equal spans anywhere, the first in the order of id and place stays; the sentences of all others go, with the white space behind them. Equal spans that a task holds together are settled
     before the shuffle, so a span in a third of all rows sends a few rows a task; settled rows are dealt by document.
 

@@ -416,3 +416,38 @@ def test_a_planted_passage_goes_where_it_comes_again(spark):
     got = {r["doc_id"]: r["kept_text"] for r in sentence_spans.repeated_spans(frame(spark, rows)).collect()}
     assert [passage in got[k] for k in range(5)] == [True] + [False] * 4
     assert all(got[k] == f"Text {k} begins in its own way. And text {k} ends in its own way." for k in range(1, 5))
+
+
+def windows(text, n=51):
+    w = text.split()
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+
+def test_no_window_of_51_words_stays_twice(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(3000)]
+    line = lambda most, ends: " ".join(rng.choice(words, rng.integers(1, most + 1))) + str(rng.choice(ends))
+    rows = []
+    for k, (most, ends) in enumerate([(1, ["\n"]), (2, ["!! ", "\n", "\n \n"]), (3, ["\n", ". "]), (6, ["? ", "\n\n"]), (16, [". "])]):
+        passage = "".join(line(most, ends) for _ in range(130 // most + 30))
+        rows += [(10 * k + c, "".join(line(most, ends) for _ in range(20)) + passage + "".join(line(most, ends) for _ in range(20))) for c in range(3)]
+    assert all(windows(rows[3 * k][1]) & windows(rows[3 * k + c][1]) for k in range(5) for c in (1, 2))
+    got = {r["doc_id"]: r["kept_text"] for r in sentence_spans.repeated_spans(frame(spark, rows)).collect()}
+    seen = set()
+    for i, _ in rows:
+        assert not windows(got[i]) & seen
+        seen |= windows(got[i])
+    assert [got[i] for i, _ in rows[::3]] == [t for _, t in rows[::3]]
+
+
+def test_longer_runs_cover_every_run_of_enough_words():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        sizes = [int(x) for x in rng.choice([0, 1, 1, 2, 3, 12], rng.integers(0, 25))]
+        spans = {(a, b) for a, b in sentence_spans.longer(sizes, 3, 10)} | {(k, k + 2) for k in range(len(sizes) - 2) if sum(sizes[k : k + 3]) >= 10}
+        for a in range(len(sizes)):
+            for b in range(a, len(sizes)):
+                worded = [k for k in range(a, b + 1) if sizes[k]]
+                if len(worded) >= 3 and sum(sizes[a : b + 1]) >= 10:
+                    assert set(worded) <= {k for x, y in spans if a <= x and y <= b for k in range(x, y + 1)}
+    assert sentence_spans.longer([0] * 50_000 + [12, 1, 1], 3, 10) == []
