@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,33 +27,54 @@ def shares(weights: dict, period: int) -> dict:
     return out
 
 
-def pfair(slots: dict) -> dict:
-    """For each source, the slots of one period that its blocks get.
+#: Slots that weights are rounded to. With S sources a share is off by S / 2^40 at most, so over 2^40 / S slots the error stays below one block.
+FINE = 1 << 40
+#: Blocks whose slots stand in one row of the plan.
+CHUNK = 256
+
 
-    Block j of a source with n of D slots is released at floor(j D / n) and due at ceil((j + 1) D / n). In each slot the released block
+def schedule(parts: dict, blocks: dict) -> dict:
+    """For each source, the slots of its blocks, ``blocks`` many; its target share is its whole number in ``parts`` to their sum.
+
+    Block j of a source with n of D parts is released at floor(j D / n) and due at ceil((j + 1) D / n). In each slot the released block
     with the earliest deadline runs (ties by name). As the shares add up to one, every block runs inside its window,
-    so at any time a source has had its share to within less than one block. The schedule repeats after D slots.
+    so at any time a source has had its share to within less than one block. Slots in which no block is released stay empty.
     """
-    period = sum(slots.values())
-    order = sorted(slots, key=str)
-    out: dict = {s: [] for s in order}
-    waiting = [(0, k, 0) for k in range(len(order))]  # release, source, block
+    total = sum(parts.values())
+    order = sorted(parts, key=str)
+    out: dict = {s: array("q") for s in order}
+    waiting = [(0, k, 0) for k, s in enumerate(order) if blocks[s]]  # release, source, block
     heapq.heapify(waiting)
     ready: list = []
-    for slot in range(period):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[order[k]]), k, j))
+            heapq.heappush(ready, (-(-(j + 1) * total // parts[order[k]]), k, j))
         due, k, j = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("a block missed its deadline")
-        n = slots[order[k]]
         out[order[k]].append(slot)
-        if j + 1 < n:
-            heapq.heappush(waiting, ((j + 1) * period // n, k, j + 1))
+        if j + 1 < blocks[order[k]]:
+            heapq.heappush(waiting, ((j + 1) * total // parts[order[k]], k, j + 1))
+        slot += 1
     return out
 
 
+def pfair(slots: dict) -> dict:
+    """The slots of one period of ``slots`` many for each source: a schedule that can be repeated."""
+    return {s: list(v) for s, v in schedule(slots, slots).items()}
+
+
+def targets(weights: dict, sources: list, period: int) -> dict:
+    """A weight above 0 for each source: one that ``weights`` doesn't name, or gives nothing, weighs a ``period``-th of all that have one (all alike if none has)."""
+    named = {s: max(0.0, weights.get(s, 0.0)) for s in sources}
+    least = sum(named.values()) / period or 1.0
+    return {s: w or least for s, w in named.items()}
+
+
 def source_counts(docs: DataFrame, source_col: str = "source") -> dict:
     """Rows of each source (null: None), on the driver: one number for each source."""
     return {r["_s"]: r["n"] for r in docs.groupBy(F.col(source_col).cast("string").alias("_s")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -78,25 +101,31 @@ def source_ranks(docs: DataFrame, n: int, source: Column, id_col: str, per_bucke
 def mix(docs: DataFrame, weights: dict | None = None, block: int = 16, period: int = 1000, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with ``slot`` and ``position``: the place of each row in a mix of its sources to target weights.
 
-    Each source is cut into blocks of ``block`` rows, in the order of a hash of the ids, and ``pfair`` gives the blocks their slots;
+    Each source is cut into blocks of ``block`` rows, in the order of a hash of the ids, and ``schedule`` gives the blocks their slots from the target weights themselves;
     ``position`` is slot * block + place in the block, so it orders all rows without ties. Every row is placed once: a source that
     runs out leaves its later slots empty, and the others keep their proportions.
 
-    ``weights`` has a number for each source (a null source: None); a source that it doesn't name gets the least share, one slot in a
-    period. By default the square roots of the sources' row counts are the weights. The sources and one period's slots must fit on the driver and
-    in each task. Rows that repeat an id are placed one by one, null ids too. Columns named slot and position are replaced. An empty table gives an empty result.
+    ``weights`` has a number for each source (a null source: None); a source that it doesn't name weighs a ``period``-th of those named
+    together. By default the square roots of the sources' row counts are the weights. The slots of all blocks, eight bytes for each ``block`` rows, must fit on the driver.
+    Rows that repeat an id are placed one by one, null ids too. Columns named slot and position are replaced. An empty table gives an empty result.
     """
     docs = docs.drop("slot", "position")
     rows = docs.select(F.struct("*").alias("_all"), F.col(source_col).cast("string").alias("_from"), F.col(id_col).alias("_id"))
     counts = source_counts(docs, source_col)
-    weights = {s: math.sqrt(n) for s, n in counts.items()} if weights is None else {s: max(0.0, weights.get(s, 0.0)) for s in counts}
-    at = pfair(shares(weights, period))
-    length = sum(map(len, at.values()))
-    plan = docs.sparkSession.createDataFrame([(s, v) for s, v in at.items()], "_s string, _slots array<int>")
-    ranked = source_ranks(rows, sum(counts.values()), F.col("_from"), "_id")
-    placed = ranked.join(F.broadcast(plan), ranked["_source"].eqNullSafe(plan["_s"]))  # one row for each source
-    slot = F.expr(f"(_rank div {int(block)}) div size(_slots)") * length + F.element_at("_slots", F.expr(f"cast((_rank div {int(block)}) % size(_slots) + 1 as int)"))
-    return placed.withColumn("slot", slot.cast("long")).withColumn("position", F.col("slot") * block + F.col("_rank") % block).select("_all.*", "slot", "position")
+    weights = targets({s: math.sqrt(n) for s, n in counts.items()} if weights is None else weights, list(counts), period)
+    at = schedule(shares(weights, FINE), {s: -(-n // block) for s, n in counts.items()})
+    plan = docs.sparkSession.createDataFrame(_plan(at))
+    ranked = source_ranks(rows, sum(counts.values()), F.col("_from"), "_id").withColumn("_block", F.expr(f"_rank div {int(block)}"))
+    placed = ranked.join(plan, ranked["_source"].eqNullSafe(plan["_s"]) & (F.expr(f"_block div {CHUNK}") == plan["_chunk"]))
+    slot = F.element_at("_slots", F.expr(f"cast(_block % {CHUNK} + 1 as int)"))
+    return placed.withColumn("slot", slot).withColumn("position", F.col("slot") * block + F.col("_rank") % block).select("_all.*", "slot", "position")
+
+
+def _plan(at: dict) -> pa.Table:
+    """A row for each source and ``CHUNK`` of its blocks, with their slots."""
+    rows = [(s, k // CHUNK, v[k : k + CHUNK]) for s, v in at.items() for k in range(0, len(v), CHUNK)]
+    columns = ([r[0] for r in rows], [r[1] for r in rows], [r[2].tolist() for r in rows])
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["_s", "_chunk", "_slots"])
 
 
 def in_mixed_order(docs: DataFrame, weights: dict | None = None, block: int = 16, period: int = 1000) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on awkward rows and on a small table."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -95,6 +96,27 @@ def test_pfair_lag_is_below_one_block():
             assert np.abs(done - np.arange(1, period + 1) * n / period).max() < 1
 
 
+def test_lag_against_the_weights_is_below_one_block():
+    for n in (3, 20, 500, 1000, 1500):
+        weights = {"hot": n / 2.0, **{f"s{k}": 1.0 for k in range(n - 1)}}
+        blocks = {s: math.ceil(40 * w) for s, w in weights.items()}
+        at = mixing.schedule(mixing.shares(mixing.targets(weights, list(weights), 1000), mixing.FINE), blocks)
+        assert sorted(x for v in at.values() for x in v)[-1] < 2 * sum(blocks.values())
+        for s, w in weights.items():
+            j, share = np.arange(blocks[s]), w / sum(weights.values())
+            slots = np.array(at[s])
+            assert (slots >= np.floor(j / share - 1e-6)).all() and (slots + 1 <= np.ceil((j + 1) / share + 1e-6)).all()
+
+
+def test_mix_of_many_sources_keeps_the_weights(spark):
+    rows = [(k, "hot") for k in range(3000)] + [(3000 + k, f"s{k % 1200}") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {"hot": 600.0, **{f"s{k}": 1.0 for k in range(1200)}}
+    got = mixing.mix(df, weights, block=1).where("source = 'hot' and slot < 1800").count()
+    assert abs(got - 600) <= 1
+    assert mixing.targets({"a": 3.0}, ["a", "b", None], 1000) == {"a": 3.0, "b": 0.003, None: 0.003}
+
+
 def test_mix_places_each_row_once(spark, plain):
     for df, rows in both(spark, plain):
         got = mixing.mix(df, block=4, period=20).collect()
