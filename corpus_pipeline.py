@@ -33,8 +33,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4096 ids."""
-    return pack(docs, public_path())
+    """The pieces of all documents in sequences of at most 4096 ids, whose numbers follow the mix.
+
+    A table read again comes in partitions by file size, so the order of the mix is made anew from the rows: it depends on them alone.
+    """
+    return pack(in_mixed_order(docs), public_path())
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixing", mixed), ("packing", packed)]

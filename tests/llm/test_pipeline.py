@@ -8,7 +8,7 @@ from rows import frame, texts
 from test_llm_operators import brute_exact, brute_near
 
 from paperloom.llm import mixing, packing, quality
-from paperloom.runtime import Scratch, table
+from paperloom.runtime import Scratch, scratch_path, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,6 +48,31 @@ def test_stages_one_by_one(spark):
     assert tokens == {i: len(encode(t)) // 4 for i, t in pairs(apart)}
 
 
+def test_sequences_follow_the_mix_after_the_table_is_read_again(spark):
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "64k"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, table(spark, SF, "documents"), SF)
+        path = scratch_path(spark, "t")
+        ids = [r["doc_id"] for r in mixed.collect()]
+        for a, b in ((0, 20), (20, 120), (120, 140), (140, len(ids))):  # files of unequal size
+            mixed.where(mixed["doc_id"].isin(ids[a:b])).coalesce(1).write.mode("append").parquet(path)
+        read = spark.read.schema(mixed.schema).parquet(path)
+        assert [r["doc_id"] for r in read.collect()] != ids
+        place = {r["doc_id"]: r["position"] for r in mixing.mix(read).collect()}
+        assert sorted(place, key=place.get) == ids
+        by = defaultdict(list)
+        for r in dict(corpus_pipeline.STAGES)["packing"](spark, read, SF).collect():
+            by[r["sequence_id"] >> 33].append(place[r["doc_id"]])
+        parts = [by[k] for k in sorted(by)]
+        assert len(parts) > 1 and all(max(a) < min(b) for a, b in zip(parts, parts[1:], strict=False))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_stages_stand_awkward_rows(spark):
     bare = lambda t: re.sub("[ \t-\r]", "", t or "")
     rows = [*texts(), texts()[0], (None, None)]
