@@ -48,7 +48,7 @@ NOTICES = {
 FAMILIES = (("cc-by-nc", False), ("cc-by-nd", False), ("cc-by-sa", False), ("apache", True), ("cc-by", True), ("lgpl", False), ("agpl", False), ("cc0", True), ("gpl", False), ("bsd", True), ("isc", True), ("mit", True), ("mpl", False), ("epl", False), ("unlicense", True))
 
 TAG = "spdx license identifier"
-_TAG_RAW = re.compile(r"spdx-license-identifier\s*:\s*([^\r\n]*)", re.IGNORECASE)
+_TAG_RAW = re.compile(r"spdx-license-identifier\s*:\s*((?:(?!spdx-license-identifier\s*:)[^\r\n])*)", re.IGNORECASE)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:_-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 #: Bytes of a text that stand in words: lower-cased ASCII letters, digits, and all bytes above ASCII; the rest become blanks.
@@ -126,6 +126,20 @@ def evaluate(expression: str) -> Licence | None:
     return out[0] if len(out) == 1 and not operand else None
 
 
+def well_formed(text: str) -> str:
+    """The longest well-formed expression that the text begins with; it is read up to the first token that can't go on with it."""
+    operand, depth, end = True, 0, 0
+    for m in _TOKEN.finditer(text):
+        binds, closes = m[0].lower() in _BINDS, m[0] == ")"
+        if operand == (binds or closes) or closes and not depth:
+            break
+        depth += (m[0] == "(") - closes
+        operand = binds or m[0] == "("
+        if not operand and not depth:
+            end = m.end()
+    return text[:end]
+
+
 @cache
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -151,7 +165,7 @@ def scan(text: str | None) -> tuple:
     labels = base_labels | {NOTICES[phrase] for _, phrase in hits if phrase in NOTICES}
     expressions = []
     if any(phrase == TAG for _, phrase in hits):
-        expressions = [m[1].strip().rstrip("*/->").strip() for m in _TAG_RAW.finditer(text)]
+        expressions = [well_formed(m[1]) for m in _TAG_RAW.finditer(text)]
     values = [v for v in map(evaluate, expressions) if v]
     for v in values:
         labels |= v.labels

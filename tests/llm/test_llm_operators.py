@@ -344,6 +344,20 @@ def test_licence_expressions():
     assert n[:4] == (13, 2, 9, 11) and n[4:7] == ("mit", "apache,mit", 1.0)
 
 
+def test_licence_tags_with_more_on_their_line():
+    for text, labels in (
+        ("SPDX-License-Identifier: MIT This file is part of it", "mit"),
+        ("SPDX-License-Identifier: MIT SPDX-License-Identifier: Apache-2.0 more", "apache,mit"),
+        ("SPDX-License-Identifier: MIT OR SPDX-License-Identifier: ISC", "isc,mit"),
+        ("<!-- SPDX-License-Identifier: (MIT OR ISC) AND (GPL-2.0 -->", "isc,mit"),
+        ("SPDX-License-Identifier: OR MIT", ""),
+    ):
+        found = licences.scan(text)
+        assert found[5] == labels and found[6] == (1.0 if labels else 0.0)
+    assert licences.well_formed("((MIT)) WITH x) y") == "((MIT)) WITH x"
+    assert licences.well_formed("(" * 100_000 + "MIT") == ""
+
+
 # 9 byte spans
 
 
