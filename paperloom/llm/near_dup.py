@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.components import components
 from paperloom.llm.exact_dedup import without_repeats
 from paperloom.llm.shingles import mixed, shingle_set
-from paperloom.runtime import Scratch, bounded_batches, release, small_batches, table
+from paperloom.runtime import Scratch, bounded_batches, release, small_batches, spread, table
 
 #: Texts link when PER_CENT * union <= 100 * intersection. Bounds below follow from three quarters: sizes of linked sets differ by 4/3 at most,
 #: and their symmetric difference is at most a seventh of the sum of their sizes.
@@ -190,6 +190,39 @@ def _sharing_enough(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return summed.join(left, "_a").join(right, "_b").where((4 * small >= 3 * F.greatest("_na", "_nb")) & (F.col("_shared") >= enough)).select("_a", "_b")
 
 
+class _Round:
+    """One pass of keys over classes ``nodes`` (_node, _n): the pairs that share cold keys, and the rows of hot keys of the classes that can't drop theirs."""
+
+    def __init__(self, keys: DataFrame, nodes: DataFrame, parts: int):
+        self._found = Scratch(_bucketed(keys.repartition(parts, "_key")), "near-found")
+        hot = self._found.df.where("_b is null").select("_key", F.col("_a").alias("_node"))
+        many = hot.groupBy("_node").agg(F.count(F.lit(1)).alias("_hot"))
+        light = nodes.select("_node", "_n").join(many, "_node", "left").select("_node", "_n", F.coalesce("_hot", F.lit(0)).alias("_hot"))
+        self.pairs = Scratch(_sharing_enough(self._found.df.where("_b is not null").select("_a", "_b", "_shared"), light), "near-direct")
+        kept = F.col("_hot") > F.when(F.col("_n") < 16, F.lit(0)).otherwise(2 + F.expr("(3 * _n div 4) div 20"))
+        self.heavy = Scratch(light.where(kept).select("_node", "_n"), "near-heavy")
+        self.hot = hot
+        self.n = self.heavy.df.count()
+
+    def drop(self) -> None:
+        self._found.drop()
+        self.heavy.drop()
+
+
+def _rare_first(sets: DataFrame) -> DataFrame:
+    """From classes (_node, _n, _set): _key, _node, _cold, the shingles of each set's prefix when shingles of at most HOT of these classes come first, in the order of their hashes, and the others by how many have them.
+
+    Of two linked sets each has n / 4 shingles at most that the other lacks. So under any one order of all shingles, the first n / 4 + 1 + ``spare`` of each hold more than the lesser ``spare`` that both have.
+    _cold is how many shingles of the set at most HOT classes have; two sets that have none of these in common differ in all of them.
+    """
+    each = sets.select("_node", "_n", F.explode("_set").alias("_key"))
+    often = each.groupBy("_key").agg(F.count(F.lit(1)).alias("_of")).where(F.col("_of") > HOT)
+    told = each.join(often, "_key", "left").select("_node", "_n", F.struct(F.coalesce("_of", F.lit(0)).alias("of"), F.col("_key").alias("key")).alias("_e"))
+    held = told.groupBy("_node", "_n").agg(F.sort_array(F.collect_list("_e")).alias("_es"), F.count_if(F.col("_e.of") == 0).alias("_cold"))
+    prefix = F.expr("slice(_es, 1, cast(_n div 4 + 4 + _n div 20 as int))")
+    return held.select("_node", "_cold", F.explode(prefix).alias("_e")).select(F.col("_e.key").alias("_key"), "_node", "_cold")
+
+
 def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of distinct pairs (_a, _b), those that sizes and sketches allow to be linked."""
     left = nodes.select(F.col("_node").alias("_a"), F.col("_n").alias("_na"), F.col("_sketch").alias("_sa"))
@@ -205,22 +238,41 @@ def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return sized.mapInArrow(mapped, "_a long, _b long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, salt: int) -> DataFrame:
-    """Of distinct pairs, those whose sets link. The sets are made again from the text of one row of each class."""
-    wanted = pairs.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct().join(nodes.select("_node", "_doc"), "_node")
-    texts = docs.join(wanted.select(F.col("_doc").alias("_id"), "_node"), "_id").select("_node", "_text")
+def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, salt: int) -> DataFrame:
+    """_node, _set (sorted hashes as bytes) of classes ``wanted`` (_node), made again from the text of one row of each."""
+    texts = docs.join(nodes.select("_node", F.coalesce("_doc", F.lit(-(1 << 63))).alias("_row")).join(wanted, "_node"), "_row").select("_node", "_text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # rows that repeat an id and a text make a class once in a task
         for b in batches:
             node, made = [], []
             for n, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if n in done:
+                    continue
                 s = shingle_set(t.as_py())
                 if len(s) and _class_of(s, salt)[0] == n:  # rows may repeat an id with other texts
+                    done.add(n)
                     node.append(n)
                     made.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(made, pa.binary())], names=["_node", "_set"])
 
-    made = texts.mapInArrow(sets, "_node long, _set binary")
+    return texts.mapInArrow(sets, "_node long, _set binary")
+
+
+def _as_numbers(sets: DataFrame) -> DataFrame:
+    """Sets of bytes as arrays of signed 64-bit numbers."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in made], pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["_node", "_n", "_set"])
+
+    return sets.mapInArrow(mapped, "_node long, _n long, _set array<long>")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, salt: int) -> DataFrame:
+    """Of distinct pairs, those whose sets link. The sets are made again from the texts."""
+    made = _sets_of(pairs.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct(), nodes, docs, salt)
     both = pairs.join(made.toDF("_a", "_sa"), "_a").join(made.toDF("_b", "_sb"), "_b").select("_a", "_b", "_sa", "_sb")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,56 +287,105 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, salt: int) ->
     return both.mapInArrow(linked, "_a long, _b long").distinct()
 
 
-def _counted(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs and the sums of their numbers."""
-    order = np.lexsort((b, a))
-    a, b, w = a[order], b[order], w[order]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return a[first], b[first], np.add.reduceat(w, first)
+#: Rows of one key that are compared at once, and the longest sketch, in 64-bit numbers, that goes with each.
+BLOCK, SKETCH = 1024, 16
+
+
+def _folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of 64-bit numbers) folded to ``width`` numbers or fewer: halves XORed until they are short enough. They still bound differences from below."""
+    while x.shape[1] > width:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
 
 
-def _across(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """From rows (_key, _node, _comp, _n): pairs of classes of fitting sizes that share a key and are not yet in one component, and how many keys they share in a task.
+def _short(nodes: DataFrame) -> DataFrame:
+    """_node, _sketch of SKETCH numbers at most."""
 
-    Pairs are made in blocks of ``most`` at once and counted together, so that a task holds a few such blocks whatever a key's size.
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [_folded(np.frombuffer(x.as_py(), np.uint64)[None, :], SKETCH).tobytes() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["_node", "_sketch"])
+
+    return nodes.select("_node", "_sketch").mapInArrow(mapped, "_node long, _sketch binary")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of hot keys with blocks: a key of many rows has its rows in blocks of about BLOCK, and each row goes to all pairs (_i, _j) that its own block (_own) is in."""
+    blocks = rows.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_of"))
+    own = rows.join(blocks, "_key").withColumn("_own", F.pmod(F.xxhash64("_node"), F.col("_of")))
+    each = own.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)))
+    return each.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).select("_key", "_i", "_j", "_own", "_node", "_comp", "_n", "_cold", "_sketch")
+
+
+def _fitting(group: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of one pair of blocks, the pairs of classes that may be linked and aren't in one component: sizes fit, the shingles that few classes have may all differ, and sketches are near enough."""
+    t = pa.Table.from_batches(group)
+    i, j = t.column("_i")[0].as_py(), t.column("_j")[0].as_py()
+    own, node, comp, n, cold = (t.column(c).to_numpy() for c in ("_own", "_node", "_comp", "_n", "_cold"))
+    kept: tuple[list, list] = ([], [])
+    if (comp == comp[0]).all():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    sketch, size = np.zeros((len(node), SKETCH), np.uint64), np.zeros(len(node), np.int64)
+    for k, raw in enumerate(t.column("_sketch").to_pylist()):
+        x = np.frombuffer(raw, np.uint64)
+        sketch[k, : len(x)], size[k] = x, len(x)
+    left = np.flatnonzero(own == i)
+    right = left if i == j else np.flatnonzero(own == j)
+    for at in range(0, len(left), 256):
+        a, b = left[at : at + 256][:, None], right[None, :]
+        ok = (comp[a] != comp[b]) & (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b])) & (7 * (cold[a] + cold[b]) <= n[a] + n[b])
+        if i == j:
+            ok &= a < b
+        x, y = np.nonzero(ok)
+        x, y = left[at + x], right[y]
+        near = np.ones(len(x), bool)
+        for s in np.unique(size[x]):
+            for z in np.unique(size[y][size[x] == s]):
+                some = np.flatnonzero((size[x] == s) & (size[y] == z))
+                for q in range(0, len(some), 50_000):
+                    w = some[q : q + 50_000]
+                    apart = _folded(sketch[x[w], :s], min(s, z)) ^ _folded(sketch[y[w], :z], min(s, z))
+                    near[w] = 7 * np.bitwise_count(apart).sum(1, dtype=np.int64) <= n[x[w]] + n[y[w]]
+        x, y = node[x[near]], node[y[near]]
+        kept[0].append(np.minimum(x, y))
+        kept[1].append(np.maximum(x, y))
+    return np.concatenate(kept[0] or [np.empty(0, np.int64)]), np.concatenate(kept[1] or [np.empty(0, np.int64)])
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """From rows (_key, _node, _comp, _n, _cold, _sketch) of hot keys: the pairs (_a, _b) of classes of one key that may be linked and aren't in one component yet, some of them repeated.
+
+    Rows come sorted by pairs of blocks, and a task holds one pair of blocks at a time.
     """
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(b.column(k).to_numpy() for k in range(4)) for b in batches]
-        if not got:
-            return
-        key, node, comp, n = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
-        order = np.argsort(key, kind="stable")
-        key, node, comp, n = key[order], node[order], comp[order], n[order]
-        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        held, size = [], 0
+        held: list[pa.RecordBatch] = []
+        last = None
 
-        def rows_of(pairs: tuple) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(pairs[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in pairs], names=["_a", "_b", "_shared"])
+        def close() -> Iterator[pa.RecordBatch]:
+            a, b = _fitting(held)
+            for at in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], names=["_a", "_b"])
 
-        for start, end in zip(heads.tolist(), [*heads[1:].tolist(), len(key)], strict=True):
-            if comp[start] == comp[end - 1] and (comp[start:end] == comp[start]).all():
+        for b in batches:
+            if not len(b):
                 continue
-            step = max(1, most // (end - start))
-            for at in range(start, end, step):
-                i, j = np.arange(at, min(at + step, end))[:, None], np.arange(start, end)[None, :]
-                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                x, y = np.nonzero((j > i) & (comp[i] != comp[j]) & (4 * small >= 3 * large))
-                x, y = node[at + x], node[start + y]
-                held.append((np.minimum(x, y), np.maximum(x, y), np.ones(len(x), np.int64)))
-                size += len(x)
-                if size > most:
-                    held = [_counted(*(np.concatenate(c) for c in zip(*held, strict=True)))]
-                    size = len(held[0][0])
-                    if size > most // 2:
-                        yield from rows_of(held[0])
-                        held, size = [], 0
-        if size:
-            yield from rows_of(_counted(*(np.concatenate(c) for c in zip(*held, strict=True))))
-
-    return rows.mapInArrow(mapped, "_a long, _b long, _shared long")
+            key, i, j = (b.column(k).to_numpy() for k in range(3))
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(b)], strict=True):
+                if held and last != (key[x], i[x], j[x]):
+                    yield from close()
+                    held = []
+                held.append(b.slice(x, y - x))
+                last = (key[x], i[x], j[x])
+        if held:
+            yield from close()
+
+    return _dealt(rows).repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j").mapInArrow(mapped, "_a long, _b long")
+
+
+#: How often the classes that can't drop their hot keys are joined by rarer keys before blocks of them are compared.
+ROUNDS = 3
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,13 +395,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     all shingles of both. All links between different texts count, and none is missed: equal sets are first made one class (by a 128-bit hash, of which collisions in
     the 64 bits used as a name are looked for); classes that share a slot key are candidates; parity sketches and sizes exclude most of the rest; sets made again from the texts decide.
 
-    Hot keys: a class drops its hot keys if it has fewer of them than any linked class must share with it. What remains are
-    members of large groups of near copies: they are compared with the first class of each key, and then only classes of a key that aren't in one component yet are compared.
+    Hot keys, which more than HOT classes share, make no pairs directly. A class drops its hot keys if it has fewer of them than any linked class must share with it. The others
+    are joined again, with each other only, by prefixes in which the shingles that few of them have come first (``_rare_first``); so those that merely quote a common passage fall away.
+    What remains are large groups of near copies. Each is held against its key's class with the fewest rare shingles, and then only classes of a key that aren't in one component yet
+    are compared, in blocks, by sizes, by their rare shingles (of which a pair has none in common, or it is a candidate already) and by sketches; pairs that pass are verified like others.
 
-    Null and empty texts have no shingles and link to nothing, each its own component. Repeated rows are one class. A null id is its own component if it is alone. An empty table gives an empty result. Other columns are ignored.
+    Null and empty texts have no shingles and link to nothing, each its own component. Repeated rows are one class. A null id is its own component if it is alone or with other null ids only. An empty table gives an empty result. Other columns are ignored.
     Returns: the id column, n_shingles, component_id.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_row", F.coalesce("_id", F.lit(-(1 << 63))))
     spark = docs.sparkSession
     bounded_batches(spark)
     for salt in range(8):
@@ -310,45 +413,69 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if nodes.df.where("_c1 != _c2").isEmpty():
             break
         sets.drop()
+        nodes.drop()
     n = nodes.df.agg(F.sum("_n").alias("n")).first()["n"] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 3_000_000)
-    found = Scratch(_bucketed(_keys(docs, salt).repartition(parts, "_key")), "near-found")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    now = _Round(_keys(docs, salt), nodes.df.select("_node", "_n"), max(least, n // 3_000_000))
     release(spark)
-
-    hot = found.df.where("_b is null").select("_key", F.col("_a").alias("_node"))
-    many = hot.groupBy("_node").agg(F.count(F.lit(1)).alias("_hot")).join(nodes.df.select("_node", "_n"), "_node")
-    light = nodes.df.select("_node", "_n").join(many.select("_node", "_hot"), "_node", "left").select("_node", "_n", F.coalesce("_hot", F.lit(0)).alias("_hot"))
-    direct = _sharing_enough(found.df.where("_b is not null").select("_a", "_b", "_shared"), light)
-    kept = F.col("_hot") > F.when(F.col("_n") < 16, F.lit(0)).otherwise(2 + F.expr("(3 * _n div 4) div 20"))
-    held = Scratch(hot.join(many.where(kept).select("_node", "_n"), "_node").select("_key", "_node", "_n"), "near-hot")
-    firsts = held.df.groupBy("_key").agg(F.min("_node").alias("_a"))
-    stars = held.df.join(firsts, "_key").where("_a < _node").select("_a", F.col("_node").alias("_b")).distinct()
-
-    survivors = Scratch(_filtered(direct.union(stars).distinct(), nodes.df), "near-pairs")
+    candidates, used = [now.pairs], [now.pairs]
+    dense = None
+    if now.n:
+        with small_batches(spark, 32):  # rows hold whole sets
+            members = Scratch(_as_numbers(_sets_of(now.heavy.df.select("_node"), nodes.df, docs, salt)), "near-members")
+        for turn in range(ROUNDS):
+            before, current = now, members.df.join(now.heavy.df.select("_node"), "_node")
+            keys = Scratch(_rare_first(current), "near-rare")
+            now = _Round(keys.df.select("_key", "_node"), before.heavy.df, max(least, n // 3_000_000))
+            candidates.append(now.pairs)
+            used.append(now.pairs)
+            before.drop()
+            if now.n == 0 or 10 * now.n > 9 * before.n or turn == ROUNDS - 1:
+                break
+            keys.drop()
+        if now.n:
+            cold = keys.df.select("_node", "_cold").distinct()
+            dense = now.hot.join(now.heavy.df, "_node").join(cold, "_node").where("4 * _cold <= _n")
+            dense = Scratch(dense.select("_key", "_node", "_n", "_cold"), "near-hot")
+            centre = dense.df.groupBy("_key").agg(F.min(F.struct("_cold", "_node")).alias("_m")).select("_key", F.col("_m._node").alias("_to"))
+            stars = dense.df.join(centre, "_key").where("_node != _to").select(F.least("_node", "_to").alias("_a"), F.greatest("_node", "_to").alias("_b")).distinct()
+            stars = Scratch(stars, "near-stars")
+            candidates.append(stars)
+            used.append(stars)
+        keys.drop()
+        members.drop()
+    now.drop()
+    release(spark)
+    pairs = candidates[0].df
+    for c in candidates[1:]:
+        pairs = pairs.union(c.df)
+    survivors = Scratch(_filtered(pairs.distinct(), nodes.df), "near-pairs")
+    for c in used:
+        c.drop()
     release(spark)
-    with small_batches(spark, 32):  # rows hold whole sets
+    with small_batches(spark, 32):
         links = Scratch(_verified(survivors.df, nodes.df, docs, salt), "near-links")
     release(spark)
     comps = components(links.df)
-    if not held.df.isEmpty():
-        placed = held.df.join(comps, "_node", "left").select("_key", "_node", F.coalesce("_comp", "_node").alias("_comp"), "_n")
-        across = _across(placed.repartition("_key")).groupBy("_a", "_b").agg(F.sum("_shared").alias("_hot_shared"))
-        told = found.df.where("_b is not null").groupBy("_a", "_b").agg(F.sum("_shared").alias("_shared"))
-        sizes = nodes.df.select("_node", "_n")
-        small = F.least("_na", "_nb")
-        enough = F.when(small < 16, F.lit(1)).otherwise(3 + F.floor(small / 20))
-        summed = across.join(told, ["_a", "_b"], "left").withColumn("_shared", F.col("_hot_shared") + F.coalesce("_shared", F.lit(0)))
-        summed = summed.join(sizes.toDF("_a", "_na"), "_a").join(sizes.toDF("_b", "_nb"), "_b").where(F.col("_shared") >= enough)
-        rest = Scratch(_filtered(summed.select("_a", "_b").join(survivors.df, ["_a", "_b"], "left_anti"), nodes.df), "near-rest")
+    if dense:
+        sketches = _short(nodes.df.join(dense.df.select("_node").distinct(), "_node"))
+        placed = dense.df.join(comps, "_node", "left").join(sketches, "_node").select("_key", "_node", F.coalesce("_comp", "_node").alias("_comp"), "_n", "_cold", "_sketch")
+        rest = Scratch(_filtered(_across(placed).distinct().join(survivors.df, ["_a", "_b"], "left_anti"), nodes.df), "near-rest")
         if not rest.df.isEmpty():
             with small_batches(spark, 32):
                 more = Scratch(_verified(rest.df, nodes.df, docs, salt), "near-more")
             comps = components(links.df.union(more.df))
-    release(spark)
+            more.drop()
+        rest.drop()
+        dense.drop()
+    survivors.drop()
     groups = nodes.df.select("_node", "_doc").join(comps, "_node", "left").select("_node", "_doc", F.coalesce("_comp", "_node").alias("_comp"))
-    least = groups.groupBy("_comp").agg(F.min("_doc").alias("component_id"))
-    named = groups.join(least, "_comp").select("_node", "component_id")
-    joined = sets.df.select("_id", "_n", "_node").join(named, "_node", "left")
+    least_of = groups.groupBy("_comp").agg(F.min("_doc").alias("component_id"))
+    named = Scratch(groups.join(least_of, "_comp").select("_node", "component_id"), "near-named")
+    links.drop()
+    nodes.drop()
+    release(spark)
+    joined = sets.df.select("_id", "_n", "_node").join(named.df, "_node", "left")
     return joined.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_node").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -364,4 +491,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op6_near_copies(spark, sf_dir):
     """``near_groups`` over all ``documents``."""
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
