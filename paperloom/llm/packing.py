@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from paperloom.runtime import bounded_batches, table
+from paperloom.runtime import bounded_batches, spread, table
 
 CAPACITY = 4096
-#: The last class: pieces of fewer ids than this stay whole and fill their bins end to end.
+#: Documents of fewer ids than this are in no class; they fill the room that bins of the classes leave.
 LEAST = 64
+#: Bins with a full number of documents that wait for something to fill their room.
+WAITING = 32
 
 _memo: dict = {}
 _PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
@@ -81,52 +83,81 @@ def word_bpe(path: str, end_id: int = 2) -> Callable[[str | None], bytes]:
     return ids
 
 
-def cuts(length: int, capacity: int = CAPACITY, least: int = LEAST) -> list[int]:
-    """The sizes of a document's pieces in order: as many full bins as it fills, then one piece of each class capacity / 2, capacity / 4, ... that it
-    needs down to ``least``, then a rest below ``least``, if any."""
-    out = [capacity] * (length // capacity)
-    length %= capacity
-    size = capacity // 2
-    while size >= least:
-        if length & size:
-            out.append(size)
-        size //= 2
-    if length % least:
-        out.append(length % least)
-    return out
-
-
 class Bins:
-    """One worker's open bins. ``put`` and ``finish`` yield closed sequences as lists of (document, start, length, ids) in order.
+    """One worker's bins. ``put`` and ``finish`` yield closed sequences as lists of (document, start, length, ids) in order.
 
-    Class j holds pieces of exactly capacity / j ids, and its bins take j of them, so a closed bin has no padding. The last class's short rests
-    stand end to end and are cut where a bin is full. Only open bins are held: fewer than two sequences' worth of ids for all classes of powers of two, and as much for the rests.
+    A document whose length is in (capacity / (k + 1), capacity / k] is of class k, and a bin of this class takes exactly k such documents, whole. The room that is left then
+    is filled to the last id: from rests of documents longer than a bin, which alone must be cut, else by documents shorter than ``least``, else, when more than ``WAITING`` bins wait, by a document of a
+    class that fits, or is cut if none does. Held are fewer than k documents of each class and the waiting bins: some ``capacity / least`` + WAITING sequences' worth of ids.
     """
 
     def __init__(self, capacity: int = CAPACITY, least: int = LEAST):
         self.capacity, self.least = capacity, least
         self.open: dict[int, list] = {}
-        self.rests: list = []
-        self.filled = 0
+        self.rests: list = []  # cut already, so they may be cut again
+        self.short: list = []
+        self.filling = 0  # ids of both
+        self.waiting: list[tuple[int, list]] = []
 
     def put(self, piece: tuple) -> Iterator[list]:
-        size = piece[2]
-        if size >= self.least:
-            held = self.open.setdefault(size, [])
+        doc, start, size, ids = piece
+        while size > self.capacity:
+            yield [(doc, start, self.capacity, ids[: 4 * self.capacity])]
+            start, size, ids = start + self.capacity, size - self.capacity, ids[4 * self.capacity :]
+        piece = (doc, start, size, ids)
+        if start or size < self.least:
+            (self.rests if start else self.short).append(piece)
+            self.filling += size
+        else:
+            k = self.capacity // size
+            held = self.open.setdefault(k, [])
             held.append(piece)
-            if len(held) * size == self.capacity:
-                yield self.open.pop(size)
+            if len(held) == k:
+                room = self.capacity - sum(p[2] for p in held)
+                del self.open[k]
+                if room:
+                    self.waiting.append((room, held))
+                else:
+                    yield held
+        yield from self._fill()
+
+    def _fill(self) -> Iterator[list]:
+        """Close the waiting bins whose room can be filled."""
+        while self.waiting:
+            while len(self.waiting) > WAITING and self.filling < self.waiting[0][0]:
+                self._give(self.waiting[0][0] - self.filling)
+            if self.filling < self.waiting[0][0]:
+                return
+            room, held = self.waiting.pop(0)
+            self.filling -= room
+            while room:
+                at = self.rests or self.short
+                doc, start, size, ids = at.pop()
+                if size > room:
+                    self.rests.append((doc, start + room, size - room, ids[4 * room :]))
+                    size, ids = room, ids[: 4 * room]
+                held.append((doc, start, size, ids))
+                room -= size
+            yield held
+
+    def _give(self, room: int) -> None:
+        """Let a document of a class fill room: of the classes whose documents all fit, the one of the longest, else the one of the shortest; or the last of a waiting bin."""
+        fitting = [k for k in self.open if self.capacity // k <= room]
+        if self.open:
+            k = min(fitting) if fitting else max(self.open)
+            piece = self.open[k].pop()
+            if not self.open[k]:
+                del self.open[k]
+            (self.short if fitting else self.rests).append(piece)
+            self.filling += piece[2]
             return
-        self.rests.append(piece)
-        self.filled += size
-        if self.filled >= self.capacity:
-            head, self.rests = cut_at(self.rests, self.capacity)
-            self.filled -= self.capacity
-            yield head
+        _, held = self.waiting.pop()
+        self.rests += held
+        self.filling += sum(p[2] for p in held)
 
     def finish(self) -> Iterator[list]:
-        """What is left, larger classes first, in full bins and then in sequences whose lengths are falling powers of two: they need no padding either."""
-        left = [p for size in sorted(self.open, reverse=True) for p in self.open[size]] + self.rests
+        """What is left, end to end: waiting bins first, then larger classes, in full bins and then in sequences whose lengths are falling powers of two: they need no padding either."""
+        left = [p for _, held in self.waiting for p in held] + [p for k in sorted(self.open) for p in self.open[k]] + self.rests + self.short
         total = sum(p[2] for p in left)
         size = self.capacity
         while total:
@@ -158,10 +189,9 @@ SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pack the ids of all rows' whole texts into sequences of at most ``capacity`` ids.
 
-    Pieces are cut to the reciprocal classes capacity / 1, / 2, / 4 ... so each bin takes a fixed number of pieces and each partition fills its own bins,
-    without a shuffle; a partition's last ids go to sequences whose lengths are powers of two. A sequence needs
-    padding only if its length isn't a power of two, and none has such a length. A text of which a task has
-    many is held one at a time, with the open bins.
+    Documents fall into reciprocal classes: those of class k have capacity / (k + 1) to capacity / k ids, and a bin takes k of them, whole (``Bins``). Each partition fills its own bins,
+    without a shuffle; the room that k documents leave is filled to the last id, and a partition's last ids go to sequences whose lengths are powers of two, so no sequence needs
+    padding. Cut are documents longer than a bin, one document or rest for each bin's room at most, and what is left in the end. A task holds one text at a time, and the open bins.
 
     A null or empty text is its end id alone. Repeated rows and null ids are packed like others. An empty table gives an empty result. Other columns are ignored.
     Returns a row for each piece: the id column, start, length, ids_crc32, doc_tokens, sequence_id, offset and sequence_length, and with ``with_ids`` the piece's ids (little-endian 32-bit).
@@ -197,11 +227,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, least: int =
             id_arrow = b.column(0).type
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = encode(text.as_py())
-                n, start = len(ids) // 4, 0
-                for size in cuts(n, capacity, least):
-                    for full in bins.put(((doc, n), start, size, ids[4 * start : 4 * (start + size)])):
-                        close(full)
-                    start += size
+                n = len(ids) // 4
+                for full in bins.put(((doc, n), 0, n, ids)):
+                    close(full)
                 if len(out) >= (500 if with_ids else 20_000):
                     yield flush()
         for full in bins.finish():
@@ -220,4 +248,4 @@ def public_path(name: str = "word_bpe_49k.json") -> str:
 
 def op1_packing(spark, sf_dir):
     """``pack`` over all ``documents`` with the 49k word vocabulary."""
-    return pack(table(spark, sf_dir, "documents"), public_path())
+    return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_path())
