@@ -129,9 +129,13 @@ def _plan(at: dict) -> pa.Table:
 
 
 def in_mixed_order(docs: DataFrame, weights: dict | None = None, block: int = 16, period: int = 1000) -> DataFrame:
-    """The rows of ``docs`` laid out in the order of the mix: sorted partitions of rising positions, which a written table keeps in its files."""
-    mixed = mix(docs, weights, block, period)
-    return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    """The rows of ``docs``, with all columns, laid out in the order of the mix: sorted partitions of rising positions, which a written table keeps in its files.
+
+    No row goes: null and empty texts, repeated rows and null ids are placed like others, a null source is a source of its own, and columns named slot or position stay as they are. An empty table gives an empty result.
+    """
+    rows = docs.select(F.struct("*").alias("_row"), "source", "doc_id")
+    mixed = mix(rows, weights, block, period)
+    return mixed.repartitionByRange("position").sortWithinPartitions("position").select("_row.*")
 
 
 def op2_mixing(spark, sf_dir):

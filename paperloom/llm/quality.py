@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.runtime import bounded_batches, table
+from paperloom.runtime import bounded_batches, spread, table
 
 BLOCK = 512
 
@@ -96,7 +96,7 @@ def fit(good: list[str], bad: list[str], dict_bytes: int = 32 * 1024, level: int
 def training_texts(docs: DataFrame, labels: DataFrame, usable: Column, rows: int, max_bytes: int) -> tuple[list[str], list[str], float]:
     """At most ``rows`` texts of each label and ``max_bytes`` of text, in the order of a hash of the id, and the share of label 1.
 
-    A document with clashing labels, or with none, is left out. The driver first gets ids and lengths of the sample, then its texts.
+    A document with clashing labels, or with none, is left out; ids that repeat in ``docs`` give all their texts that aren't empty, one length of each id counting against the bounds. The driver first gets ids and lengths of the sample, then its texts.
     """
     agreed = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("_q"), F.max("quality").alias("_q2")).where("_q = _q2")
     known = docs.where(usable).select("doc_id", F.octet_length("text").alias("_n")).where("_n > 0").join(agreed.select("doc_id", "_q"), "doc_id").select("doc_id", "_n", "_q")
@@ -115,15 +115,15 @@ def training_texts(docs: DataFrame, labels: DataFrame, usable: Column, rows: int
     return texts[1], texts[0], counts.get(1, 0) / max(1, sum(counts.values()))
 
 
-def score(docs: DataFrame, model: CompressionModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``: how likely label 1 is, from 0 to 1, from the whole text alone.
+def score(docs: DataFrame, model: CompressionModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with ``score_col``: how likely label 1 is, from 0 to 1, from the whole text alone.
 
-    A null or empty text, whose difference is 0, gets the curve's value there. A column named ``score`` is replaced.
+    A null or empty text, whose difference is 0, gets the curve's value there. Rows that repeat a text score alike, null ids like others; an empty table gives an empty result. A column of the same name is replaced, others stay.
     """
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of dict_bytes each
-    kept = [c for c in docs.columns if c != "score"]
-    fields = docs.select(*kept).schema.add("score", "double")
+    kept = [c for c in docs.columns if c != score_col]
+    fields = docs.select(*kept).schema.add(score_col, "double")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -131,7 +131,7 @@ def score(docs: DataFrame, model: CompressionModel, text_col: str = "text") -> D
         for b in batches:
             d = np.array([sizer.difference(t.as_py()) for t in b.column(b.schema.get_field_index(text_col))], dtype=float)
             p = 1 / (1 + np.exp(-np.clip(m.slope * d + m.offset, -700, 700)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, score_col])
 
     return docs.select(*kept).mapInArrow(scored, fields)
 
@@ -155,10 +155,16 @@ def op4_quality(spark, sf_dir):
     Each row is scored from its own text, repeated rows alike. A row whose id is null counts as held out: false.
     """
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs.select("doc_id", "text"), learned(spark, docs, sf_dir))
+    scored = score(spread(docs.select("doc_id", "text")), learned(spark, docs, sf_dir))
     return scored.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more, with their columns."""
-    return score(docs, learned(spark, docs, sf_dir)).where(F.col("score") >= least).select(*docs.columns)
+    """The rows of ``docs`` that score ``least`` or more, with all their columns, one named score too.
+
+    Null and empty texts score what the curve gives for a difference of 0, all alike; rows that repeat a text share its fate, and null ids are scored like others. An empty table gives an empty result.
+    """
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, learned(spark, docs, sf_dir), score_col=name).where(F.col(name) >= least).select(*docs.columns)
