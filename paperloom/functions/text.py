@@ -94,7 +94,8 @@ def tokens(c: Column, drop_stopwords: bool = True) -> Column:
 def science_tokens(c: Column, drop_stopwords: bool = True, keep_alnum: bool = False) -> Column:
     """Tokens of scientific text: numbers with units, p-values, powers and coded names stay whole. ``keep_alnum`` also keeps names like f1 and co2 whole."""
     pattern = SCIENCE_PATTERN.replace(r"|[a-z]+|\d+", r"|[a-z]+\d+[a-z0-9]*|[a-z]+|\d+") if keep_alnum else SCIENCE_PATTERN
-    found = F.transform(F.regexp_extract_all(normalise_text(c), F.lit(pattern), F.lit(0)), lambda t: F.regexp_replace(t, r"\s+", ""))
+    pattern = pattern.replace("[a-z]+(?:[-_]", "[a-z]++(?:[-_]")  # letters before a hyphen are all or none, so plain words fail at once
+    found = F.transform(F.regexp_extract_all(normalise_text(c), F.lit(pattern), F.lit(0)), lambda t: F.replace(t, F.lit(" "), F.lit("")))  # blanks are the only white space here
     long_enough = lambda t: (F.length(t) > 1) | t.rlike(r"^\d$")
     return F.filter(found, lambda t: ~t.isin(PAPER_STOPWORDS) & long_enough(t)) if drop_stopwords else F.filter(found, long_enough)
 
@@ -125,28 +126,29 @@ def estimate_tokens(c: Column) -> Column:
 
 # Signs of PDF text layers and what they stand for.
 _PDF_SEVERAL = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "…": "..."}
-_PDF_ONE = {"‘": "'", "’": "'", "“": '"', "”": '"', " ": " ", " ": " ", " ": " ", " ": " ", " ": " "}
-_PDF_NONE = "­​‌‍﻿\u0000"
+_PDF_ONE = {"‘": "'", "’": "'", "“": '"', "”": '"', "\u2212": "-", "\u02c6": "^"}
+_PDF_NONE = "\u200b\u200c\u200d\ufeff"
+#: Every blank of Unicode but the plain one.
+_BLANKS = "".join(chr(k) for k in range(0x80, 0x3001) if unicodedata.category(chr(k)) == "Zs")
 
 
 def clean_pdf_text(c: Column) -> Column:
-    """Ligatures, quotes and blanks made plain, hyphenated line ends joined, soft line ends as blanks, empty lines collapsed."""
-    out = F.translate(F.coalesce(c, F.lit("")), "".join(_PDF_ONE) + _PDF_NONE, "".join(_PDF_ONE.values()))
+    """Ligatures, quotes, signs and blanks made plain, words joined that a hyphen and a line end divide, soft line ends as blanks (not behind the end of a sentence or clause, nor before empty lines, bullets and digits), runs of blanks as one."""
+    out = F.translate(F.coalesce(c, F.lit("")), "".join(_PDF_ONE) + _BLANKS + _PDF_NONE, "".join(_PDF_ONE.values()) + " " * len(_BLANKS))
     for char, to in _PDF_SEVERAL.items():
         out = F.replace(out, F.lit(char), F.lit(to))
-    out = F.regexp_replace(out, r"([A-Za-z])-\n([a-z])", "$1$2")
-    out = F.regexp_replace(out, r"(?<![.!?:;\n])\n(?![\n•*\-\d])", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return F.trim(out)
+    out = F.regexp_replace(out, r"(?U)(\w)[-‐‑]\s*\n\s*(\w)", "$1$2")
+    out = F.regexp_replace(out, r"(?<![.!?:;])\n(?![\n•*\-\d])", " ")
+    return F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"(?U)^\s+|\s+$", "")
 
 
-# What a full stop does not end a sentence behind.
-_ABBREVIATIONS = ["e.g", "i.e", "et al", "Fig", "Figs", "Eq", "Eqs", "Tab", "Sec", "cf", "vs", "Dr", "No", "pp"]
-SENTENCE_PATTERN = "".join(rf"(?<!\b{a.replace('.', chr(92) + '.')}\.)" for a in _ABBREVIATIONS) + r"(?<!\d\.)(?<=[.!?])[\s ]+(?=[A-Z“(\[])"
+# What a full stop does not end a sentence behind, beside a capital and a small letter ("Dr.").
+_ABBREVIATIONS = ["e.g", "i.e", "cf", "vs", "Fig", "Eq", "Tab", "Sec", "Ref", "al", "No", "pp", "vol"]
+SENTENCE_PATTERN = "".join(rf"(?<!\b{a.replace('.', chr(92) + '.')}\.)" for a in _ABBREVIATIONS) + r"(?<![A-Z][a-z]\.)(?<=[.!?])[\s ]+(?=[A-Z“(\[])"
 
 
 def sentences(c: Column) -> Column:
-    """The sentences of a text, not cut behind common abbreviations or numbers."""
+    """The sentences of a text, not cut behind common abbreviations."""
     return F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), SENTENCE_PATTERN), lambda s: s != "")
 
 
@@ -170,16 +172,15 @@ def normalise_brackets(c: Column) -> Column:
     return F.translate(c, "【】［］❨❩〚〛", "[][][][]")
 
 
-_DASH = "[‐-―]"
+# Hyphens and dashes that aren't ASCII.
+_DASH = "[\u2010\u2011\u2012\u2013\u2014\u2015]"
 
 
 def sanitise_output(c: Column) -> Column:
-    """Typographic dashes made plain: ranges of numbers as "to", at a line's start a hyphen, between words a comma; doubled commas and blanks repaired."""
-    out = F.regexp_replace(c, rf"(\d)\s*{_DASH}\s*(\d)", "$1 to $2")
-    out = F.regexp_replace(out, rf"(?m)^\s*{_DASH}\s*", "- ")
-    out = F.regexp_replace(out, rf"\s+{_DASH}\s+", ", ")
-    out = F.regexp_replace(out, _DASH, "-")
-    return F.regexp_replace(F.regexp_replace(out, r",\s*,", ","), r",\s*([.;:!?])", "$1")
+    """Typographic dashes made plain: between digits as "to", at a line's start a hyphen behind the same indent, between blanks a comma, elsewhere a hyphen; a comma behind other punctuation goes."""
+    for pattern, to in ((rf"(?<=\d)\s*{_DASH}\s*(?=\d)", " to "), (rf"(?m)^([ \t]*){_DASH}[ \t]+", "$1- "), (rf"[ \t]+{_DASH}[ \t]+", ", "), (_DASH, "-"), (r"([,;:])[ \t]*,[ \t]+", "$1 ")):
+        c = F.regexp_replace(c, pattern, to)
+    return c
 
 
 def coerce_json(c: Column) -> Column:
@@ -189,11 +190,20 @@ def coerce_json(c: Column) -> Column:
 
 
 def unwrap_list(c: Column, element: str = "string") -> Column:
-    """The list in an answer: the answer itself if it is one, else the first of the usual keys that holds one, else an object as a list of one. ``element`` is the type of its members in SQL."""
-    # Keys under which answers put their list.
-    keys = ["items", "results", "data", "list", "entries", "elements", "rows", "records", "values", "output", "answers", "claims", "findings", "papers"]
+    """The list in an answer: the answer itself if it is one, else the first of the usual keys that holds one, else the only list that it holds; else an object with a plain value as a list of one; else an empty list.
+    ``element`` is the type of its members in SQL."""
+    # Keys under which answers put their list, in the order in which they are tried.
+    keys = ["items", "rows", "results", "data", "list", "entries", "records", "articles", "stories", "events", "themes", "entities", "bullets", "output"]
     kind = f"array<{element}>"
-    return F.coalesce(F.try_variant_get(c, "$", kind), *(F.try_variant_get(c, f"$.{k}", kind) for k in keys), F.when(F.schema_of_variant(c).startswith("OBJECT"), F.array(F.try_variant_get(c, "$", element))))
+    is_list = lambda v: F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+    values = F.map_values(F.try_variant_get(c, "$", "map<string,variant>"))
+    lists = F.filter(values, is_list)
+    plain = F.exists(values, lambda v: ~F.coalesce(F.schema_of_variant(v).rlike("^(?:ARRAY|OBJECT)"), F.lit(False)))
+    named = [F.when(is_list(F.try_variant_get(c, f"$.{k}", "variant")), F.try_variant_get(c, f"$.{k}", kind)) for k in keys]
+    whole = F.when(is_list(c), F.try_variant_get(c, "$", kind))
+    only = F.when(F.size(lists) == 1, F.try_variant_get(F.get(lists, F.lit(0)), "$", kind))
+    row = F.when(plain, F.array(F.coalesce(F.try_variant_get(c, "$", element), F.to_json(c).cast(element) if element == "string" else F.lit(None).cast(element))))
+    return F.coalesce(whole, *named, only, row, F.array().cast(kind))
 
 
 def highlight(text: Column, query: Column, window: int = 220, most: int = 20) -> Column:
@@ -212,15 +222,18 @@ def highlight(text: Column, query: Column, window: int = 220, most: int = 20) ->
     return F.when(F.size(terms) > 0, cut).otherwise(F.expr("cast(array() as array<struct<start:int,snippet:string>>)"))
 
 
-# Identifiers.
-ARXIV = r"(?i)^(?:arxiv:\s*|https?://(?:www\.)?arxiv\.org/(?:abs|pdf)/)?(\d{4}\.\d{4,5})(?:v\d+)?(?:\.pdf)?$"
-DOI = r"(?i)^(?:doi:\s*|https?://(?:dx\.)?doi\.org/)?(10\.\d{4,9}/\S+)$"
+# Identifiers as their registries write them.
+ARXIV = r"(?:(?:[a-z-]+(?:\.[a-z]{2})?/)?\d{4}\.\d{4,5}|[a-z-]+(?:\.[a-z]{2})?/\d{7})"
+DOI = r"10\.\d{4,9}/\S+"
 
 
 def identify(c: Column) -> Column:
-    """What a pasted identifier is: (kind, id, url) with kind arxiv, doi, url or unknown."""
+    """What a pasted identifier is: (kind, id, url) with kind arxiv, doi, url or unknown. An arXiv id keeps its version; a link to arXiv gives the id without one."""
     text = F.trim(F.coalesce(c, F.lit("")))
-    arxiv, doi = F.regexp_extract(text, ARXIV, 1), F.regexp_extract(text, DOI, 1)
+    bare = F.regexp_replace(text, r"(?i)^arxiv[:\s]*", "")
+    linked = F.regexp_extract(text, rf"(?i)arxiv\.org/(?:abs|pdf|html)/({ARXIV})", 1)
+    arxiv = F.when(bare.rlike(rf"(?i)^{ARXIV}(?:v\d+)?$"), bare).otherwise(linked)
+    doi = F.regexp_extract(text, rf"(?i)^(?:doi:\s*|https?://(?:dx\.)?doi\.org/)?({DOI})$", 1)
     kind = F.when(arxiv != "", "arxiv").when(doi != "", "doi").when(text.rlike("(?i)^https?://[^/]+"), "url").otherwise("unknown")
     ident = F.when(arxiv != "", arxiv).when(doi != "", doi).otherwise(text)
     url = F.when(arxiv != "", F.concat(F.lit("https://arxiv.org/pdf/"), arxiv)).when(doi != "", F.concat(F.lit("https://doi.org/"), doi)).when(kind == "url", text).otherwise(F.lit(""))
