@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import science_tokens
+from paperloom.runtime import Scratch, spread
 
 # Fixed values of the ranking function.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -48,15 +49,13 @@ def query_terms(queries: DataFrame, text: str = "text", query: str = "item_id")
     return queries.select(F.col(query).alias("query_id"), F.explode(science_tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
 
 
-def bm25_scores(queries: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
-    """(query_id, scope, doc_id, score) of all documents that share a term with a query.
+def bm25_scores(queries: DataFrame, index: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, scope, doc_id, score) of all documents that share a term with a query. ``corpus`` has (scope, n_docs, avg_len).
 
     Terms of queries meet the index in an equi-join that adaptive execution can split; the index is reduced to terms that some query has before anything else
     is computed, and contributions are summed before the shuffle.
     """
-    asked = queries.select("term").distinct()
-    corpus = corpus_stats(stats)
-    found = index.join(asked, "term", "left_semi")
+    found = index.join(queries.select("term").distinct(), "term", "left_semi")
     terms = term_stats(found, corpus)
     scored = found.join(terms, ["scope", "term"]).join(corpus.select("scope", "avg_len"), "scope").join(queries, "term")
     tf, qf = F.col("tf").cast("double"), F.col("qf").cast("double")
@@ -64,6 +63,21 @@ def bm25_scores(queries: DataFrame, index: DataFrame, stats: DataFrame) -> DataF
     return scored.groupBy("query_id", "scope", "doc_id").agg(F.sum(part).alias("score"))
 
 
+def asked_index(docs: DataFrame, queries: DataFrame, text: str = "text", doc: str = "doc_id", scope: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(index, corpus): the postings of the terms of ``queries`` (query_id, term, qf), and (scope, n_docs, avg_len) of all documents, from one pass over ``docs``, whose texts are tokenised once.
+
+    Each document gives a row without a term beside its tokens; tokens that no query has go before the shuffle if the queries' terms are few enough to be broadcast, which Spark decides by their size.
+    What is left is a table in the shared folder, which both results read.
+    """
+    texts = spread(docs.select(_scope(scope).alias("scope"), F.col(doc).alias("doc_id"), F.col(text).alias("_text")))
+    toks = texts.select("scope", "doc_id", science_tokens(F.col("_text")).alias("_toks"))
+    rows = toks.select("scope", "doc_id", F.size("_toks").cast("long").alias("len"), F.explode(F.concat(F.array(F.lit("")), "_toks")).alias("term"))
+    wanted = queries.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
+    kept = Scratch(rows.join(wanted, "term", "left_semi").groupBy("scope", "doc_id", "term", "len").agg(F.count(F.lit(1)).alias("tf")), "bm25").df
+    corpus = kept.where("term = ''").groupBy("scope").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
+    return kept.where("term != ''"), corpus
+
+
 def top_k(scores: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """The ``k`` best rows of each query, scores rounded to six places, ties by document; with their rank from 1. Ranks below k are cut before the shuffle."""
     order = Window.partitionBy(*(by or ["query_id"])).orderBy(F.desc("score"), "doc_id")
@@ -72,8 +86,9 @@ def top_k(scores: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 40, scope: str | None = None, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
     """(query_id, scope, doc_id, score, rank): the ``k`` best documents of each query, and of each scope if documents are ranked within one."""
-    index, stats = postings(docs, doc=doc, scope=scope), doc_stats(docs, doc=doc, scope=scope)
-    return top_k(bm25_scores(query_terms(queries, query=query), index, stats), k, ["query_id"] + ["scope"] * (scope is not None))
+    asked = query_terms(queries, query=query)
+    index, corpus = asked_index(docs, asked, doc=doc, scope=scope)
+    return top_k(bm25_scores(asked, index, corpus), k, ["query_id"] + ["scope"] * (scope is not None))
 
 
 def contains_term(index: DataFrame, term: str) -> DataFrame:
