@@ -102,9 +102,11 @@ def composition(elements: DataFrame, kinds: tuple[str, ...] = ("paragraph", "tab
 
 
 def first_of_each(rows: DataFrame, groups: list[str], order: list, most: int = 40) -> DataFrame:
-    """Rows of each group up to ``most``, with the group's size."""
-    w = Window.partitionBy(*groups)
-    return rows.withColumn("group_size", F.count(F.lit(1)).over(w)).withColumn("rn", F.row_number().over(w.orderBy(*order)).cast("long")).where(F.col("rn") <= most)
+    """Rows of each group up to ``most``, with the group's size. Ranks are cut and sizes combined before their shuffles, so a large group isn't one task's."""
+    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("long")).where(F.col("rn") <= most)
+    sizes = rows.groupBy(*(F.col(g).alias(f"_size_{g}") for g in groups)).agg(F.count(F.lit(1)).alias("group_size"))
+    same = [ranked[g].eqNullSafe(sizes[f"_size_{g}"]) for g in groups]
+    return ranked.join(sizes, same).select(*(ranked[c] for c in rows.columns), "group_size", "rn")
 
 
 def state_counts(papers: DataFrame) -> DataFrame:
@@ -195,11 +197,27 @@ def clean_notes(notes: DataFrame) -> DataFrame:
     return notes.withColumns({"body": F.substring(F.trim("body"), 1, 4000), "colour": F.when(F.col("colour").isin(NOTE_COLOURS), F.col("colour")).otherwise(F.lit(NOTE_COLOURS[0]))})
 
 
-def unique_slugs(names: DataFrame, name: str, order: str) -> DataFrame:
-    """Names with a slug each: the second of a base gets -2, the third -3, in the order of ``order``."""
-    base = slugify(F.col(name))
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(order))
-    return names.withColumn("_base", base).withColumn("slug", F.when(n > 1, F.concat("_base", F.lit("-"), n.cast("string"))).otherwise(F.col("_base"))).drop("_base")
+def unique_slugs(names: DataFrame, name: str, order: str, per_bucket: int = 100_000) -> DataFrame:
+    """Names with a slug each, no two alike: in the order of ``order`` the first of a base gets the base itself and each later one -2, -3 ... in turn, but for numbers that make the base of another name.
+
+    Names of one base are counted in ranges of ``order``, so a base of very many names isn't one task's.
+    """
+    rows = names.withColumn("_base", slugify(F.col(name)))
+    total = rows.count()
+    parts = max(1, -(-total // per_bucket))
+    cuts = rows.select(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000).alias("q")).first()["q"] if parts > 1 else []
+    rows = rows.withColumn("_part", sum(((F.col(order) > F.lit(q)).cast("int") for q in sorted(set(cuts or []))), F.lit(0)))
+    counts = rows.groupBy("_base", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_base").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_base", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    # numbers that are taken: bases that end in -k, by what stands before it
+    ending = counts.select("_base").distinct().select(F.regexp_extract("_base", "^(.+)-([1-9][0-9]{0,17})$", 1).alias("_base"), F.regexp_extract("_base", "^(.+)-([1-9][0-9]{0,17})$", 2).try_cast("long").alias("_k"))
+    taken = ending.where("_base != '' and _k > 1").groupBy("_base").agg(F.sort_array(F.collect_set("_k")).alias("_taken"))
+    inside = F.row_number().over(Window.partitionBy("_base", "_part").orderBy(order))
+    placed = rows.withColumn("_in", inside).join(starts, ["_base", "_part"]).join(taken, "_base", "left").withColumn("_number", F.col("_before") + F.col("_in"))
+    # the n-th free number: one more for each taken one that isn't greater
+    free = F.aggregate(F.coalesce("_taken", F.expr("cast(array() as array<bigint>)")), F.col("_number").cast("long"), lambda n, k: F.when(k <= n, n + 1).otherwise(n))
+    return placed.withColumn("slug", F.when(F.col("_number") > 1, F.concat("_base", F.lit("-"), free.cast("string"))).otherwise(F.col("_base"))).select(*names.columns, "slug")
 
 
 def without(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:

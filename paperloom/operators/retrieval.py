@@ -66,11 +66,11 @@ def where_matched(needle: Column, text: Column, caption: Column | None = None, l
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("body")))
 
 
-def find_everywhere(rows: DataFrame, needles: DataFrame, text: str = "search_text", doc: str = "doc_id") -> DataFrame:
+def find_everywhere(rows: DataFrame, needles: DataFrame, text: str = "search_text", doc: str = "doc_id", block: int = 1000) -> DataFrame:
     """(query_id, doc_id and the columns of ``rows``) for every row whose text holds a needle literally, without regard to case.
 
-    ``needles`` (query_id, needle). A needle's rarest token, by document frequency, picks the candidate rows through the inverted index, and the literal test decides; needles without whole tokens inside are tested against all rows in a
-    broadcast of the needles, whose number is checked.
+    ``needles`` (query_id, needle). A needle's rarest token, by document frequency, picks the candidate rows through the inverted index, and the literal test decides. Needles without whole tokens inside are tested against all rows, in
+    blocks of ``block`` needles, so a row is met once a block and only hits leave it.
     """
     low = rows.withColumn("_low", F.lower(F.col(text)))
     inner = F.regexp_extract_all(F.lower(F.col("needle")), F.lit(r"(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9])"), F.lit(0))
@@ -84,12 +84,11 @@ def find_everywhere(rows: DataFrame, needles: DataFrame, text: str = "search_tex
     by_token = candidates.join(low, F.col("_doc") == F.col(doc)).where(F.col("_low").contains(F.col("_needle")))
     bare = asked.where(F.size("_inner") == 0).select("query_id", "_needle")
     out = by_token.drop("_doc")
-    few = bare.limit(1001).count()
-    if few:
-        if few > 1000:
-            raise ValueError("more than 1000 needles hold no whole token")
-        plain = low.join(F.broadcast(bare), F.col("_low").contains(F.col("_needle")))
-        out = out.unionByName(plain)
+    n = bare.count()
+    if n:
+        blocks = bare.groupBy(F.pmod(F.xxhash64("query_id", "_needle"), F.lit(-(-n // block))).alias("_block")).agg(F.collect_list(F.struct("query_id", "_needle")).alias("_needles"))
+        hits = low.crossJoin(blocks.select("_needles")).withColumn("_hit", F.explode(F.filter("_needles", lambda x: F.col("_low").contains(x["_needle"]))))  # blocks, not needles
+        out = out.unionByName(hits.withColumns({"query_id": F.col("_hit.query_id"), "_needle": F.col("_hit._needle")}).drop("_needles", "_hit"))
     return out.drop("_low", "_needle")
 
 
