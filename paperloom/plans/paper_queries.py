@@ -1,349 +1,545 @@
-"""Queries over papers' structure, layout and citations, on small made pages: their results are written out beside them."""
+"""Queries over papers' structure, layout and citations.
+
+The fixtures hold no papers, so each query makes its elements, references, boxes or answers from rows of a whole table, in SQL that both engines run; what comes out is computed in SQL anew.
+"""
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import scholarly as S
 from paperloom.functions import text as T
 from paperloom.operators import answers, chunking, exports, fusion, layout, quality, refs, structure
 from paperloom.plans.registry import query
+from paperloom.runtime import table
+
 
+def made(spark, sf, sql: str) -> DataFrame:
+    """The rows of SQL over tables of ``sf``, whose names stand in braces."""
+    return spark.sql(sql, **{t: table(spark, sf, t) for t in set(re.findall(r"\{(\w+)\}", sql))})
 
-def values(rows: list[tuple], names: str) -> str:
-    """A SELECT of the given rows."""
 
-    def lit(x) -> str:
-        if x is None:
-            return "NULL"
-        if isinstance(x, bool):
-            return str(x).lower()
-        if isinstance(x, (int, float)):
-            return str(x)
-        return "'" + x.replace("'", "''") + "'"
+def twin(sql: str, then: str) -> str:
+    """The oracle: the same rows as ``input``, and what is computed from them."""
+    return f"WITH input AS ({re.sub(r'[{](\w+)[}]', r'\1', sql)}) {then}" if not then.startswith(",") else f"WITH input AS ({re.sub(r'[{](\w+)[}]', r'\1', sql)}){then}"
 
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names})"
 
+def listed(rows: list[tuple], names: str) -> str:
+    """Rows as a table in SQL."""
+    lit = lambda x: str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+    return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS {names}"
 
-_HEADINGS = [("1 Introduction", "introduction"), ("2.1 Related Work", "related_work"), ("III. Methods", "methods"), ("4 Experimental Setup", "experiments"), ("Results and Discussion", "results"), ("Limitations", "limitations"), ("References", "references"), ("A Appendix", "appendix"), ("5 Conclusions and Future Work", "conclusion"), ("Why Self-Attention", "discussion"), ("Data Collection", "data"), ("Acknowledgments", "acknowledgements"), ("Broader Impact", "ethics"), ("The Zebra Problem", "unknown"), ("7", "unknown"), ("", "unknown")]
 
+# headings
 
-@query("section_of_headings", values(_HEADINGS, "heading, section"))
+_HEADS = [
+    ("Introduction", "introduction"), ("Related Work", "related_work"), ("Methods", "methods"), ("Experimental Setup", "experiments"), ("Results and Discussion", "results"), ("Limitations", "limitations"),
+    ("References", "references"), ("Appendix", "appendix"), ("Conclusions and Future Work", "conclusion"), ("Why Self-Attention", "discussion"), ("Data Collection", "data"), ("Acknowledgments", "acknowledgements"),
+    ("Broader Impact", "ethics"), ("The Zebra Problem", "unknown"), ("Résumé of Zebras", "unknown"), ("Ablation Studies", "experiments"), ("Qualitative Examples", "results"), ("Threats to Validity", "limitations"),
+    ("Theoretical Framework", "background"), ("Supplementary Material", "appendix"), ("Hyper-parameters", "experiments"), ("Summary and Outlook", "abstract"), ("Datasets", "data"), ("Proposed System", "methods"),
+]
+_KEYED = [(k, h, s) for k, (h, s) in enumerate(_HEADS)]
+_OUTLINE = [(0, ""), (1, "1 "), (2, "2.1 "), (3, "III. "), (4, "A.1 "), (5, "Section 3 "), (6, "7. "), (7, "B) "), (8, "Chapter IV ")]
+_HEADINGS = f"SELECT p_partkey AS id, k, concat(prefix, head, CASE WHEN p_partkey % 2 = 0 THEN concat(' ', p_name) ELSE '' END) AS heading FROM {{part}} JOIN {listed([r[:2] for r in _KEYED], 'h(k, head)')} ON p_partkey % {len(_HEADS)} = k JOIN {listed(_OUTLINE, 'o(n, prefix)')} ON p_partkey % {len(_OUTLINE)} = n"
+
+
+@query("section_of_headings", twin(_HEADINGS, f"SELECT id, heading, section FROM input JOIN {listed([(k, s) for k, _, s in _KEYED], 's(k, section)')} USING (k)"))
 def section_of_headings(spark, sf):
-    """The section that each heading opens."""
-    return spark.createDataFrame([(h,) for h, _ in _HEADINGS], "heading string").select("heading", S.section_of(F.col("heading")).alias("section"))
+    """The section that each heading opens, whatever its number."""
+    return made(spark, sf, _HEADINGS).select("id", "heading", S.section_of(F.col("heading")).alias("section"))
 
 
-_TRAIL = [(0, "title", 0, "A Study", "", "unknown"), (1, "heading", 1, "1 Introduction", "1 Introduction", "introduction"), (2, "paragraph", 0, "text", "1 Introduction", "introduction"), (3, "heading", 1, "2 Methods", "2 Methods", "methods"), (4, "heading", 2, "2.1 Data", "2 Methods > 2.1 Data", "data"), (5, "heading", 3, "2.1.1 Zebras", "2 Methods > 2.1 Data > 2.1.1 Zebras", "data"), (6, "paragraph", 0, "text", "2 Methods > 2.1 Data > 2.1.1 Zebras", "data"), (7, "heading", 2, "2.2 Training", "2 Methods > 2.2 Training", "experiments"), (8, "paragraph", 0, "text", "2 Methods > 2.2 Training", "experiments"), (9, "heading", 1, "References", "References", "references"), (10, "reference", 0, "[1] x", "References", "references")]
+_TRAIL = f"""SELECT paper_id, ord, CASE WHEN (paper_id * 7 + ord * 5) % 3 = 0 THEN 'paragraph' ELSE 'heading' END AS kind, (paper_id + ord * ord) % 4 + 1 AS level, head AS text, k
+FROM (SELECT DISTINCT l_orderkey AS paper_id, l_linenumber AS ord FROM {{lineitem}}) AS e JOIN {listed([r[:2] for r in _KEYED], 'h(k, head)')} ON (paper_id * 3 + ord * 11) % {len(_HEADS)} = k"""
 
 
-@query("heading_trail", values([(r[0], r[4], r[5]) for r in _TRAIL], "ord, path, section"))
+@query(
+    "heading_trail",
+    twin(_TRAIL, f""", h AS (SELECT input.*, section FROM input JOIN {listed([(k, s) for k, _, s in _KEYED], 's(k, section)')} USING (k) WHERE kind = 'heading'),
+t AS (SELECT e.paper_id, e.ord, h.ord AS at, h.text, h.section FROM input e JOIN h ON e.paper_id = h.paper_id AND h.ord <= e.ord
+      WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.paper_id = e.paper_id AND x.ord > h.ord AND x.ord <= e.ord AND x.level <= h.level))
+SELECT e.paper_id, e.ord, coalesce(string_agg(t.text, ' > ' ORDER BY t.at), '') AS path, coalesce(arg_max(t.section, t.at) FILTER (t.section <> 'unknown'), 'unknown') AS section
+FROM input e LEFT JOIN t ON e.paper_id = t.paper_id AND e.ord = t.ord GROUP BY e.paper_id, e.ord"""),
+)
 def heading_trail(spark, sf):
     """Each element's headings and section."""
-    elements = spark.createDataFrame([(1, *r[:4]) for r in _TRAIL], "paper_id long, ord int, kind string, level int, text string")
-    return structure.heading_trails(elements).select("ord", F.array_join("section_path", " > ").alias("path"), "section")
-
+    return structure.heading_trails(made(spark, sf, _TRAIL)).select("paper_id", "ord", F.array_join("section_path", " > ").alias("path"), "section")
 
-_BLOCK = "[1] J. Ba, J. Kiros, and G. Hinton. Layer normalization. arXiv preprint arXiv:1607.06450, 2016. [2] Kyunghyun Cho and Yoshua Bengio. Learning phrase representations using rnn encoder. In Proceedings of EMNLP, 2014. doi:10.1000/xyz.12. [3] Short."
 
+# references
 
-def _references(spark):
-    rows = [(1, 20, "paragraph", "references", _BLOCK, ""), (1, 21, "heading", "references", "References", ""), (1, 22, "paragraph", "references", "4. Smith, A. and Jones, B. A great survey of things. Journal of Surveys, 1999. https://example.org/x.", "")]
-    return structure.split_references(spark.createDataFrame(rows, "paper_id long, ord int, kind string, section string, text string, label string"))
+_NAMES = [(0, "Kiros"), (1, "Müller"), (2, "Okafor"), (3, "Lindqvist"), (4, "Tanaka")]
+_BLOCKS = f"""SELECT p_partkey AS paper_id, 20 AS ord, 'paragraph' AS kind, 'references' AS section, '' AS label, p_name, name, 1960 + p_partkey % 60 AS y1, 2000 + p_partkey % 20 AS y2,
+concat('16', lpad(CAST(p_partkey % 12 + 1 AS STRING), 2, '0'), '.', lpad(CAST(p_partkey % 100000 AS STRING), 5, '0')) AS ax, concat('10.1000/x', CAST(p_partkey AS STRING)) AS dx,
+concat('[1] Anna ', name, ', Bo Berg, and C. Dahl. Study of ', p_name, '. arXiv preprint arXiv:16', lpad(CAST(p_partkey % 12 + 1 AS STRING), 2, '0'), '.', lpad(CAST(p_partkey % 100000 AS STRING), 5, '0'), ', ', CAST(1960 + p_partkey % 60 AS STRING),
+'. [2] Eve Falk and Gus ', name, '. Notes on ', p_name, '. In Proceedings of a Meeting, ', CAST(2000 + p_partkey % 20 AS STRING), '. doi:10.1000/x', CAST(p_partkey AS STRING), '. [3] Short. [4] Hal Ito. A long title without any more to say, https://example.org/a.') AS text
+FROM {{part}} JOIN {listed(_NAMES, 'n(k, name)')} ON p_partkey % 5 = k"""
+_ENTRIES = """, r AS (
+SELECT paper_id, 0 AS entry_no, 1 AS number, ax AS arxiv_id, NULL AS doi, NULL AS url, y1 AS year, 3 AS n_authors, concat('Study of ', p_name) AS title, name AS surname FROM input UNION ALL
+SELECT paper_id, 1, 2, NULL, dx, NULL, y2, 2, concat('Notes on ', p_name), 'Falk' FROM input UNION ALL
+SELECT paper_id, 3, 4, NULL, NULL, 'https://example.org/a', NULL, 1, 'A long title without any more to say', 'Ito' FROM input) """
 
 
-_REFS = [(20, 0, 1, "[1]", "1607.06450", None, 2016, 3, "Layer normalization"), (20, 1, 2, "[2]", None, "10.1000/xyz.12", 2014, 2, "Learning phrase representations using rnn encoder"), (22, 0, 4, "[4]", None, None, 1999, None, None)]
+def _references(spark, sf) -> DataFrame:
+    return structure.split_references(made(spark, sf, _BLOCKS).select("paper_id", "ord", "kind", "section", "label", "text"))
 
 
-@query("split_references", values([r[:7] for r in _REFS], "ord, entry_no, number, label, arxiv_id, doi, year"))
+@query("split_references", twin(_BLOCKS, _ENTRIES + "SELECT paper_id, entry_no, number, concat('[', number, ']') AS label, arxiv_id, doi, url, year FROM r"))
 def split_references(spark, sf):
-    """The entries of reference blocks and what can be read off them."""
-    return _references(spark).select("ord", "entry_no", F.col("ref.number").alias("number"), "label", "ref.arxiv_id", "ref.doi", "ref.year")
+    """The entries of reference blocks and what can be read off them; one that is too short goes."""
+    return _references(spark, sf).select("paper_id", "entry_no", "ref.number", "label", "ref.arxiv_id", "ref.doi", "ref.url", "ref.year")
 
 
-@query("reference_titles", values([(r[2], r[8], r[7]) for r in _REFS[:2]], "number, title, n_authors"))
+@query("reference_titles", twin(_BLOCKS, _ENTRIES + "SELECT paper_id, number, title, n_authors, lower(surname) AS surname FROM r"))
 def reference_titles(spark, sf):
-    """Titles and numbers of authors of the first two entries."""
-    return _references(spark).where("ref.number < 3").select(F.col("ref.number").alias("number"), "ref.title", F.size("ref.authors").alias("n_authors"))
+    """Titles, numbers of authors and the first author's surname of all entries."""
+    return _references(spark, sf).select("paper_id", "ref.number", "ref.title", F.size("ref.authors").alias("n_authors"), S.first_surname(F.col("ref.authors")).alias("surname"))
 
 
-_CITING = [(1, "As in [1, 2] and [4-5], also [1].", [20, 21, 22]), (2, "See (Cho and Bengio, 2014) and (Nobody, 2000).", [21]), (3, "No markers [x].", []), (4, "(Ba, 2016) before [2].", [21, 20])]
+_CITING = f"""SELECT p_partkey AS paper_id, k AS ord, 'paragraph' AS kind, CASE k WHEN 0 THEN 'As in [1, 2] and [1-2], also [9].' WHEN 1 THEN concat('See (', name, ', ', CAST(1960 + p_partkey % 60 AS STRING), ') and (Nobody, 2000).') WHEN 2 THEN 'No markers [x].'
+ELSE concat('(Falk and Other, ', CAST(2000 + p_partkey % 20 AS STRING), ') after [4] and [1].') END AS text FROM {{part}} JOIN {listed(_NAMES, 'n(i, name)')} ON p_partkey % 5 = i CROSS JOIN {listed([(0,), (1,), (2,), (3,)], 'c(k)')}"""
 
 
-@query("link_citations", values([(o, d, k) for o, _, ds in _CITING for k, d in enumerate(ds)], "src_ord, dst_ord, pos"))
+@query("link_citations", twin(_CITING, f"SELECT paper_id, ord AS src_ord, dst_ord, pos FROM input JOIN {listed([(0, 21, 0), (0, 22, 1), (1, 21, 0), (3, 24, 0), (3, 21, 1), (3, 22, 2)], 'd(ord, dst_ord, pos)')} USING (ord)"))
 def link_citations(spark, sf):
-    """Which element cites which reference."""
-    parsed = _references(spark).where("ref.number is not null").withColumn("ord", F.col("ref.number") + F.when(F.col("ref.number") == 4, 18).otherwise(19))
-    elements = spark.createDataFrame([(1, o, "paragraph", t) for o, t, _ in _CITING], "paper_id long, ord int, kind string, text string")
-    return structure.citation_edges(elements, parsed).select("src_ord", "dst_ord", "pos")
+    """Which element cites which reference: numbers, ranges, and names with years."""
+    parsed = _references(spark, sf).withColumn("ord", F.col("ref.number") + 20)
+    return structure.citation_edges(made(spark, sf, _CITING), parsed).select("paper_id", "src_ord", "dst_ord", "pos")
 
 
-_RANGES = [("4-7, 9", "4,5,6,7,9"), ("12", "12"), ("3–5", "3,4,5"), ("1-200", ""), ("7-4", ""), ("2, 2", "2,2")]
+_RANGES = "SELECT o_orderkey AS id, o_orderkey % 90 AS a, o_custkey % 40 AS n, o_custkey % 7 AS c, concat(CAST(o_orderkey % 90 AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE ' – ' END, CAST(o_orderkey % 90 + o_custkey % 40 AS STRING), ', ', CAST(o_custkey % 7 AS STRING)) AS mark FROM {orders}"
 
 
-@query("expand_ranges", values(_RANGES, "mark, numbers"))
+@query("expand_ranges", twin(_RANGES, "SELECT id, mark, concat(CASE WHEN n BETWEEN 1 AND 30 THEN concat(array_to_string(generate_series(a, a + n), ','), ',') ELSE '' END, c) AS numbers FROM input"))
 def expand_ranges(spark, sf):
-    """Numbers of markers with ranges."""
-    return spark.createDataFrame([(m,) for m, _ in _RANGES], "mark string").select("mark", F.array_join(S.expand_numbers(F.col("mark")).cast("array<string>"), ",").alias("numbers"))
+    """Numbers of markers with ranges of at most thirty steps."""
+    return made(spark, sf, _RANGES).select("id", "mark", F.array_join(S.expand_numbers(F.col("mark")).cast("array<string>"), ",").alias("numbers"))
 
 
-_ANSWERS = [("It rose [1, 9] by 3 [2].", "It rose [1] by 3 [2].", "1,2"), ("Nothing 【7】 holds [8] .", "Nothing holds.", ""), ("Plain.", "Plain.", ""), ("[3]［1］", "[3][1]", "1,3")]
+# answers
 
+_ANSWERS = "SELECT o_orderkey AS id, o_orderkey % 5 + 1 AS a, o_custkey % 5 + 1 AS b, o_orderkey % 4 + 1 AS c, concat('It rose [', CAST(o_orderkey % 5 + 1 AS STRING), ', ', CAST(o_custkey % 5 + 1 AS STRING), '] by 3 【', CAST(o_orderkey % 4 + 1 AS STRING), '】.') AS answer FROM {orders}"
 
-@query("validate_citations", values(_ANSWERS, "answer, text, used"))
+
+@query(
+    "validate_citations",
+    twin(_ANSWERS, """, x AS (SELECT *, CASE WHEN a <= 3 AND b <= 3 AND a <> b THEN concat(' [', a, ', ', b, ']') WHEN a <= 3 THEN concat(' [', a, ']') WHEN b <= 3 THEN concat(' [', b, ']') ELSE '' END AS ab FROM input)
+SELECT id, concat('It rose', ab, ' by 3', CASE WHEN c <= 3 THEN concat(' [', c, ']') ELSE '' END, '.') AS text, array_to_string(list_sort(list_distinct(list_filter([a, b, c], lambda k: k <= 3))), ',') AS used FROM x"""),
+)
 def validate_citations(spark, sf):
     """Answers without citations of excerpts that weren't supplied."""
     v = S.validate_citations(F.col("answer"), F.array(*map(F.lit, (1, 2, 3))))
-    return spark.createDataFrame([(a,) for a, _, _ in _ANSWERS], "answer string").select("answer", v["text"].alias("text"), F.array_join(v["used"].cast("array<string>"), ",").alias("used"))
+    return made(spark, sf, _ANSWERS).select("id", v["text"].alias("text"), F.array_join(v["used"].cast("array<string>"), ",").alias("used"))
+
+
+_NAMED = "CASE {0} WHEN 3 THEN 'Figure 2, p. 7' WHEN 5 THEN 'p. 9' END"
 
 
-@query("resolve_citations", values([("It rose [Figure 2, p. 7] and fell.",), ("Both [Figure 2, p. 7; p. 9].",)], "text"))
+@query("resolve_citations", twin(_ANSWERS, f"""SELECT id, concat('It rose', CASE WHEN a IN (3, 5) OR b IN (3, 5) THEN concat(' [', concat_ws('; ', {_NAMED.format("a")}, {_NAMED.format("b")}), ']') ELSE ' ' END, ' by 3 【', c, '】.') AS text FROM input"""))
 def resolve_citations(spark, sf):
     """Answers whose numbers are replaced by what they cite."""
     cited = F.create_map(F.lit(3), F.lit("Figure 2, p. 7"), F.lit(5), F.lit("p. 9"))
-    return spark.createDataFrame([("It rose [3] and fell [8].",), ("Both [3, 5].",)], "t string").select(S.resolve_citations(F.col("t"), cited).alias("text"))
+    return made(spark, sf, _ANSWERS).select("id", S.resolve_citations(F.col("answer"), cited).alias("text"))
 
 
-_DASHES = [("from 3–5 days", "from 3 to 5 days"), ("a — b", "a, b"), ("well‑known", "well-known"), ("– item", "- item"), ("x —, y", "x, y")]
+_DASHES = """SELECT o_orderkey AS id, CAST(o_orderkey AS STRING) AS a, CAST(o_custkey AS STRING) AS b, lower(o_orderpriority) AS w,
+concat('  — from ', CAST(o_orderkey AS STRING), ' – ', CAST(o_custkey AS STRING), ' days', chr(10), chr(10), '– ', lower(o_orderpriority), ' — so‑called, x —, y;, z ― 7') AS raw FROM {orders}"""
 
 
-@query("sanitise_dashes", values(_DASHES[:4], "raw, clean"))
+@query("sanitise_dashes", twin(_DASHES, "SELECT id, concat('  - from ', a, ' to ', b, ' days', chr(10), chr(10), '- ', w, ', so-called, x -, y; z, 7') AS clean FROM input"))
 def sanitise_dashes(spark, sf):
-    """Typographic dashes made plain."""
-    return spark.createDataFrame([(a,) for a, _ in _DASHES[:4]], "raw string").select("raw", T.sanitise_output(F.col("raw")).alias("clean"))
+    """Typographic dashes made plain; lines, indents and empty lines stay."""
+    return made(spark, sf, _DASHES).select("id", T.sanitise_output(F.col("raw")).alias("clean"))
 
 
-_JSON = [('```json\n{"a": 1}\n```', '{"a":1}'), ('Here: [1, 2] ok', "[1,2]"), ("none", None), ('x {"b": [3]} y', '{"b":[3]}')]
+_JSON = """SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN concat('```json', chr(10), '{{"a": ', CAST(c_custkey AS STRING), '}}', chr(10), '```') WHEN 1 THEN concat('Here: [', CAST(c_custkey AS STRING), ', 2] ok') WHEN 2 THEN 'none'
+WHEN 3 THEN concat('x {{"b": ["', c_mktsegment, '"]}} y') ELSE concat('{{"n": null, "bullets": [', CAST(c_custkey AS STRING), ']}}') END AS answer FROM {customer}"""
 
 
-@query("coerce_json", values([(k, j) for k, (_, j) in enumerate(_JSON)], "k, j"))
+@query(
+    "coerce_json",
+    twin(_JSON.replace("{{", "<").replace("}}", ">"), """SELECT id, CASE id % 5 WHEN 0 THEN concat('{"a":', id, '}') WHEN 1 THEN concat('[', id, ',2]') WHEN 3 THEN concat('{"b":["', (SELECT c_mktsegment FROM customer WHERE c_custkey = id), '"]}') WHEN 4 THEN concat('{"bullets":[', id, '],"n":null}') END AS json,
+CASE id % 5 WHEN 1 THEN concat(id, ',2') WHEN 3 THEN (SELECT c_mktsegment FROM customer WHERE c_custkey = id) WHEN 4 THEN CAST(id AS VARCHAR) WHEN 0 THEN concat('{"a":', id, '}') END AS list FROM input""").replace("<", "{").replace(">", "}"),
+)
 def coerce_json(spark, sf):
-    """The JSON inside answers."""
-    return spark.createDataFrame([(k, a) for k, (a, _) in enumerate(_JSON)], "k int, a string").select("k", F.to_json(T.coerce_json(F.col("a"))).alias("j"))
+    """The JSON inside answers, and the list that it is or holds."""
+    v = T.coerce_json(F.col("answer"))
+    return made(spark, sf, _JSON).select("id", F.to_json(v).alias("json"), F.when(v.isNotNull(), F.array_join(T.unwrap_list(v), ",")).alias("list"))
 
 
-_IDS = [("arXiv:1706.03762v5", "arxiv", "1706.03762"), ("https://arxiv.org/abs/2407.01449", "arxiv", "2407.01449"), ("doi:10.1000/182", "doi", "10.1000/182"), ("https://doi.org/10.1000/182", "doi", "10.1000/182"), ("https://example.org/a.pdf", "url", "https://example.org/a.pdf"), ("hello", "unknown", "hello")]
+_IDS = """SELECT o_orderkey AS id, o_orderkey % 8 AS k, concat(lpad(CAST(o_custkey % 9000 AS STRING), 4, '1'), '.', lpad(CAST(o_orderkey % 100000 AS STRING), 5, '0')) AS ax, concat('hep-th/', lpad(CAST(o_orderkey AS STRING), 7, '9')) AS old, concat('10.1000/', CAST(o_orderkey AS STRING)) AS doi FROM {orders}"""
+_RAW_IDS = "CASE k WHEN 0 THEN concat('arXiv:', ax, 'v5') WHEN 1 THEN concat('https://arxiv.org/abs/', ax) WHEN 2 THEN concat('https://arxiv.org/html/', ax, 'v2') WHEN 3 THEN concat('arXiv:', old) WHEN 4 THEN concat('doi:', doi) WHEN 5 THEN concat('https://doi.org/', doi) WHEN 6 THEN concat('https://example.org/', ax, '.pdf') ELSE ax END"
 
 
-@query("identify_ids", values(_IDS, "raw, kind, id"))
+@query(
+    "identify_ids",
+    twin(_IDS, f"""SELECT id, {_RAW_IDS} AS raw, CASE WHEN k IN (0, 1, 2, 3, 7) THEN 'arxiv' WHEN k IN (4, 5) THEN 'doi' ELSE 'url' END AS kind,
+CASE k WHEN 0 THEN concat(ax, 'v5') WHEN 3 THEN old WHEN 4 THEN doi WHEN 5 THEN doi WHEN 6 THEN concat('https://example.org/', ax, '.pdf') ELSE ax END AS ident FROM input"""),
+)
 def identify_ids(spark, sf):
     """What pasted identifiers are."""
     f = T.identify(F.col("raw"))
-    return spark.createDataFrame([(r,) for r, _, _ in _IDS], "raw string").select("raw", f["kind"].alias("kind"), f["id"].alias("id"))
+    return made(spark, sf, _IDS).select("id", F.expr(_RAW_IDS).alias("raw")).select("id", "raw", f["kind"].alias("kind"), f["id"].alias("ident"))
 
 
-_PDF = [("eﬃcient  “use”", 'efficient "use"'), ("hyphen-\nated word", "hyphenated word"), ("one\ntwo.\nThree", "one two.\nThree"), ("a\n\n\n\nb", "a\n\nb"), ("x\n• y", "x\n• y")]
+_PDF = "SELECT doc_id, replace(replace(replace(replace(text, 'fi', 'ﬁ'), ' the ', concat(' the', chr(10))), 'tion', concat('ti-', chr(10), 'on')), ' in ', ' in ') AS raw FROM {documents}"
+_BLANK = T._BLANKS
+_SOFT = r"regexp_replace({0}, '([^.!?:;])\n([^\n•*\-0-9])', '\1 \2', 'g')"
 
 
-@query("clean_pdf_text", values([(k, b) for k, (_, b) in enumerate(_PDF)], "k, clean"))
+@query(
+    "clean_pdf_text",
+    twin(_PDF, rf""", a AS (SELECT doc_id, regexp_replace(replace(replace(translate(coalesce(raw, ''), '“”‘’−ˆ' || '{_BLANK}', '""' || '''''' || '-^' || '{" " * len(_BLANK)}'), 'ﬁ', 'fi'), '…', '...'), '([\pL\pN_])[-‐‑]\s*\n\s*([\pL\pN_])', '\1\2', 'g') AS t FROM input)
+SELECT doc_id, regexp_replace(regexp_replace({_SOFT.format(_SOFT.format("t"))}, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS clean FROM a"""),
+)
 def clean_pdf_text(spark, sf):
-    """Text layers made plain."""
-    return spark.createDataFrame([(k, a) for k, (a, _) in enumerate(_PDF)], "k int, t string").select("k", T.clean_pdf_text(F.col("t")).alias("clean"))
+    """Texts as a PDF's text layer might have them, made plain."""
+    return made(spark, sf, _PDF).select("doc_id", T.clean_pdf_text(F.col("raw")).alias("clean"))
 
 
-_PIN = [(1, 30, 1), (1, 10, 2), (1, 20, 3), (2, 20, 1), (2, 10, 2)]
+# rankings
 
+_PIN_CHUNKS = "SELECT p_partkey AS doc_id, p_partkey % 50 AS paper_id, p_partkey AS ord, concat(CASE p_partkey % 4 WHEN 0 THEN 'Table ' WHEN 1 THEN 'Fig. ' WHEN 2 THEN 'figure ' ELSE 'Scheme ' END, CAST(p_partkey % 97 AS STRING)) AS label FROM {part}"
+_PIN_QUERIES = "SELECT s_suppkey AS query_id, concat('what does Figure ', CAST(s_suppkey % 97 AS STRING), ' show, and tab. ', CAST(s_suppkey % 90 AS STRING)) AS text FROM {supplier}"
+_PIN_RANKED = f"SELECT s_suppkey AS query_id, (s_suppkey * 13 + k * 7) % 200 AS doc_id, 0.9 - k / 20.0 AS score, k AS rank FROM {{supplier}} CROSS JOIN {listed([(k,) for k in range(1, 9)], 'r(k)')}"
 
-@query("label_pin", values(_PIN, "query_id, doc_id, rank"))
+
+@query(
+    "label_pin",
+    twin(_PIN_CHUNKS, f""", q AS ({_PIN_QUERIES.replace("{supplier}", "supplier")}), ranked AS ({_PIN_RANKED.replace("{supplier}", "supplier")}),
+pins AS (SELECT query_id, doc_id, paper_id, ord FROM q JOIN input ON (doc_id % 4 = 0 AND doc_id % 97 = query_id % 90) OR (doc_id % 4 IN (1, 2) AND doc_id % 97 = query_id % 97))
+SELECT query_id, doc_id, ord IS NOT NULL AS pinned, row_number() OVER (PARTITION BY query_id ORDER BY ord IS NULL, paper_id, ord, rank, doc_id) AS rank FROM ranked FULL JOIN pins USING (query_id, doc_id)"""),
+)
 def label_pin(spark, sf):
     """Chunks whose label a query names in front of the others."""
-    ranked = spark.createDataFrame([(1, 10, 0.5, 1), (1, 20, 0.4, 2), (2, 20, 0.6, 1), (2, 10, 0.2, 2)], "query_id long, doc_id long, score double, rank long")
-    chunks = spark.createDataFrame([(10, 1, 0, ""), (20, 1, 1, "Table 2"), (30, 1, 2, "Fig. 3")], "doc_id long, paper_id long, ord int, label string")
-    queries = spark.createDataFrame([(1, "what does Figure 3 show"), (2, "and table 7")], "query_id long, text string")
-    return fusion.pin_labels(ranked, chunks, queries).select("query_id", "doc_id", "rank")
+    ranked = made(spark, sf, _PIN_RANKED).withColumn("score", F.col("score").cast("double")).withColumn("rank", F.col("rank").cast("long"))
+    return fusion.pin_labels(ranked, made(spark, sf, _PIN_CHUNKS), made(spark, sf, _PIN_QUERIES)).select("query_id", "doc_id", "pinned", "rank")
+
 
+# layout: boxes
 
-_BOXES = [(1, 1, 0, "figure", "", 100, 100, 300, 200), (1, 1, 1, "caption", "Figure 1: a", 100, 210, 300, 220), (1, 1, 2, "caption", "Table 1: b", 100, 400, 300, 410), (1, 1, 3, "table", "", 100, 420, 300, 500), (1, 1, 4, "figure", "", 100, 560, 300, 640), (1, 1, 5, "caption", "Figure 2: c", 100, 540, 300, 550), (1, 2, 6, "figure", "", 0, 0, 50, 50), (1, 2, 7, "caption", "Figure 3: d", 0, 400, 50, 410), (1, 1, 8, "figure", "", 110, 110, 290, 190)]
+_BOXES = """SELECT paper_id, page, ord, CASE (paper_id + ord) % 3 WHEN 0 THEN 'caption' WHEN 1 THEN 'figure' ELSE 'table' END AS kind, CASE WHEN (paper_id * 5 + ord) % 2 = 0 THEN 'Figure 1: a' ELSE 'Table 2. b' END AS text,
+CAST(50 + ord % 3 * 60 AS DOUBLE) AS x0, CAST(y AS DOUBLE) AS y0, CAST(300 + ord % 2 * 40 AS DOUBLE) AS x1, CAST(y + h AS DOUBLE) AS y1
+FROM (SELECT DISTINCT l_orderkey AS paper_id, l_linenumber % 2 + 1 AS page, l_linenumber AS ord, (l_orderkey * 37 + l_linenumber * (l_orderkey % 97) * 13) % 700 AS y, 10 + (l_orderkey + l_linenumber * 3) % 120 AS h FROM {lineitem}) AS b"""
+_PAIRS = """, c AS (SELECT paper_id, page, ord AS caption_ord, y0, y1, CASE WHEN text LIKE 'Table%' THEN 'table' ELSE 'figure' END AS wants FROM input WHERE kind = 'caption'),
+p AS (SELECT c.paper_id, c.page, caption_ord, t.ord AS target_ord, CASE WHEN t.kind = 'table' THEN t.y0 - c.y1 ELSE c.y0 - t.y1 END AS usual, CASE WHEN t.kind = 'table' THEN c.y0 - t.y1 ELSE t.y0 - c.y1 END AS other
+      FROM c JOIN input t ON c.paper_id = t.paper_id AND c.page = t.page AND t.kind = c.wants),
+s AS (SELECT paper_id, page, caption_ord, target_ord, CASE WHEN usual BETWEEN -6 AND 220 THEN 0 WHEN other BETWEEN -6 AND 90 THEN 1 END AS side, CASE WHEN usual BETWEEN -6 AND 220 THEN usual ELSE other END AS gap FROM p) """
 
 
-def _boxes(spark):
-    rows = [(p, g, o, k, t, (float(a), float(b), float(c), float(d))) for p, g, o, k, t, a, b, c, d in _BOXES]
-    return spark.createDataFrame(rows, "paper_id long, page int, ord int, kind string, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+def _boxes(spark, sf) -> DataFrame:
+    return made(spark, sf, _BOXES).withColumn("bbox", F.struct("x0", "y0", "x1", "y1")).drop("x0", "y0", "x1", "y1")
 
 
-@query("caption_nearest", values([(1, 0, 0, 10.0), (2, 3, 0, 10.0), (5, 4, 1, 10.0)], "caption_ord, target_ord, side, gap"))
+@query("caption_nearest", twin(_BOXES, _PAIRS + "SELECT paper_id, caption_ord, target_ord, side, gap FROM s WHERE side IS NOT NULL QUALIFY row_number() OVER (PARTITION BY paper_id, page, caption_ord ORDER BY side, gap, target_ord) = 1"))
 def caption_nearest(spark, sf):
     """Each caption's nearest figure or table."""
-    return layout.nearest_captions(_boxes(spark).where("ord != 8")).select("caption_ord", "target_ord", "side", "gap")
+    return layout.nearest_captions(_boxes(spark, sf)).select("paper_id", "caption_ord", "target_ord", "side", "gap")
 
 
-@query("caption_greedy", values([(1, 0), (2, 3)], "caption_ord, target_ord"))
-def caption_greedy(spark, sf):
-    """The same when nothing gets two captions."""
-    return layout.greedy_captions(_boxes(spark).where("ord != 4")).select("caption_ord", "target_ord")
+# A page with one caption of a kind: the greedy choice is the nearest one. Several captions that compete are in the tests.
+_ALONE = _BOXES.replace("FROM {lineitem}", "FROM {lineitem} WHERE l_linenumber > 2")
 
 
-@query("overlap_pairs", values([(0, 8, 1.0)], "a, b, ratio"))
+@query(
+    "caption_greedy",
+    twin(_ALONE, _PAIRS + """, lone AS (SELECT paper_id, page, wants FROM c GROUP BY ALL HAVING count(*) = 1),
+n AS (SELECT * FROM s WHERE side IS NOT NULL QUALIFY row_number() OVER (PARTITION BY paper_id, page, caption_ord ORDER BY side, gap, target_ord) = 1)
+SELECT paper_id, caption_ord, target_ord FROM n JOIN c USING (paper_id, page, caption_ord) JOIN lone USING (paper_id, page, wants)"""),
+)
+def caption_greedy(spark, sf):
+    """The same when nothing gets two captions, of captions that are alone of their kind on their page."""
+    boxes = made(spark, sf, _ALONE).withColumn("bbox", F.struct("x0", "y0", "x1", "y1"))
+    wants = F.when(F.col("text").startswith("Table"), "table").otherwise("figure")
+    captions = boxes.where("kind = 'caption'").withColumn("wants", wants)
+    lone = captions.groupBy("paper_id", "page", "wants").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    of = captions.join(lone, ["paper_id", "page", "wants"]).select("paper_id", F.col("ord").alias("caption_ord"))
+    return layout.greedy_captions(boxes).join(of, ["paper_id", "caption_ord"]).select("paper_id", "caption_ord", "target_ord")
+
+
+@query(
+    "overlap_pairs",
+    twin(_BOXES, """SELECT a.paper_id, a.ord AS a, b.ord AS b, round(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)), 9) AS ratio
+FROM input a JOIN input b ON a.paper_id = b.paper_id AND a.page = b.page AND a.ord < b.ord
+WHERE greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) > 0.5"""),
+)
 def overlap_pairs(spark, sf):
     """Boxes of a page that share more than half of the smaller."""
-    return layout.overlapping(_boxes(spark)).select("a", "b", "ratio")
-
+    return layout.overlapping(_boxes(spark, sf)).select("paper_id", "a", "b", F.round("ratio", 9).alias("ratio"))
 
-_RULES = [(1, 1, 100.0, 50.0, 300.0), (1, 1, 150.0, 50.0, 300.0), (1, 1, 220.0, 55.0, 300.0), (1, 1, 700.0, 50.0, 300.0), (1, 2, 10.0, 0.0, 30.0), (1, 2, 40.0, 0.0, 30.0)]
 
+# layout: tables
 
-def _bands(spark):
-    return layout.table_bands(spark.createDataFrame(_RULES, "paper_id long, page int, y double, x0 double, x1 double"))
+_RULES = """SELECT paper_id, page, CAST(y AS DOUBLE) AS y, CAST(50 + y % 3 * 15 AS DOUBLE) AS x0, CAST(250 + y % 5 * 30 AS DOUBLE) AS x1 FROM (SELECT DISTINCT l_orderkey AS paper_id, l_linenumber % 2 + 1 AS page, (l_orderkey * 31 + l_linenumber * l_linenumber * 83) % 1400 AS y FROM {lineitem}) AS r"""
+_BANDED = """, o AS (SELECT *, lag(y) OVER w AS py, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1 FROM input WINDOW w AS (PARTITION BY paper_id, page ORDER BY y, x0)),
+n AS (SELECT *, sum(CASE WHEN y - py <= 420 AND greatest(0, least(x1, px1) - greatest(x0, px0)) > 0.8 * least(x1 - x0, px1 - px0) THEN 0 ELSE 1 END) OVER (PARTITION BY paper_id, page ORDER BY y, x0) AS band FROM o),
+b AS (SELECT paper_id, page, band, min(x0) AS x0, min(y) AS y_top, max(x1) AS x1, max(y) AS y_bottom, count(*) AS n_rules FROM n GROUP BY ALL HAVING count(*) >= 2 AND max(y) - min(y) >= 12 AND max(x1) - min(x0) >= 40) """
 
 
-@query("table_bands", values([(1, 50.0, 100.0, 300.0, 220.0, 3)], "page, x0, y_top, x1, y_bottom, n_rules"))
+@query("table_bands", twin(_RULES, _BANDED + "SELECT paper_id, page, x0, y_top, x1, y_bottom, n_rules FROM b"))
 def table_bands(spark, sf):
     """Regions between rules that may hold tables."""
-    return _bands(spark).select("page", "x0", "y_top", "x1", "y_bottom", "n_rules")
+    return layout.table_bands(made(spark, sf, _RULES)).select("paper_id", "page", "x0", "y_top", "x1", "y_bottom", "n_rules")
 
 
-_CELLS = [["name", "n", "share"], ["alpha", "12", "0.5"], ["beta", "7", "0.25"], ["gamma", "9", "0.25"]]
+@query("boxes_in_band", twin(_BOXES, ", rules AS (" + _RULES.replace("{lineitem}", "lineitem") + ")" + _BANDED.replace("FROM input", "FROM rules") + "SELECT i.paper_id, i.ord, band FROM input i JOIN b ON i.paper_id = b.paper_id AND i.page = b.page WHERE i.y0 >= y_top - 2 AND i.y1 <= y_bottom + 2 AND i.x0 < b.x1 AND i.x1 > b.x0"))
+def boxes_in_band(spark, sf):
+    """Boxes inside the bands of their page."""
+    return layout.boxes_in_bands(_boxes(spark, sf), layout.table_bands(made(spark, sf, _RULES))).select("paper_id", "ord", "band")
 
 
-def _words(spark):
-    rows = [(1, 1, 60.0 + 90 * c, 105.0 + 20 * r, 60.0 + 90 * c + 5 * len(x), 115.0 + 20 * r, x) for r, cells in enumerate(_CELLS) for c, x in enumerate(cells)]
-    return spark.createDataFrame([*rows, (1, 1, 60.0, 600.0, 90.0, 610.0, "outside")], "paper_id long, page int, x0 double, y0 double, x1 double, y1 double, text string")
+_WORDS = f"""SELECT s_suppkey AS paper_id, 1 AS page, r, c, CASE WHEN r = 0 THEN CASE c WHEN 0 THEN 'name' WHEN 1 THEN 'n' ELSE 'share' END WHEN c = 0 THEN concat('s', CAST(s_suppkey % 1000 AS STRING)) WHEN c = 1 THEN CAST(s_suppkey % 97 + r AS STRING) ELSE concat('0.', CAST(r AS STRING)) END AS text
+FROM {{supplier}} CROSS JOIN {listed([(r, c) for r in range(4) for c in range(3)], 'g(r, c)')}"""
 
 
-@query("found_tables", values([(r, c, x) for r, cells in enumerate(_CELLS) for c, x in enumerate(cells)], "r, c, cell"))
+@query("found_tables", twin(_WORDS, "SELECT paper_id, r, c, text AS cell FROM input"))
 def found_tables(spark, sf):
-    """The cells of the table inside a band."""
-    grids = layout.find_tables(_words(spark), _bands(spark))
-    return grids.select(F.posexplode("grid").alias("r", "cells")).select("r", F.posexplode("cells").alias("c", "cell"))
+    """The cells of the table inside each band; a word below it is in none."""
+    words = made(spark, sf, _WORDS).withColumns({"x0": 60.0 + 90 * F.col("c"), "y0": 105.0 + 20 * F.col("r")})
+    words = words.withColumns({"x1": F.col("x0") + 5 * F.length("text"), "y1": F.col("y0") + 10}).drop("r", "c")
+    outside = words.select("paper_id", "page", F.lit("outside").alias("text"), F.lit(60.0).alias("x0"), F.lit(600.0).alias("y0"), F.lit(95.0).alias("x1"), F.lit(610.0).alias("y1")).distinct()
+    rules = words.select("paper_id", "page").distinct().select("*", F.explode(F.array(F.lit(100.0), F.lit(120.0), F.lit(190.0))).alias("y"), F.lit(50.0).alias("x0"), F.lit(300.0).alias("x1"))
+    grids = layout.find_tables(words.unionByName(outside), layout.table_bands(rules))
+    return grids.select("paper_id", F.posexplode("grid").alias("r", "cells")).select("paper_id", "r", F.posexplode("cells").alias("c", "cell"))
 
 
-@query("boxes_in_band", values([(x,) for cells in _CELLS for x in cells], "text"))
-def boxes_in_band(spark, sf):
-    """Words inside the band."""
-    words = _words(spark).withColumn("bbox", F.struct("x0", "y0", "x1", "y1")).drop("x0", "y0", "x1", "y1")
-    return layout.boxes_in_bands(words, _bands(spark)).select("text")
+_GRIDS = "SELECT p_partkey AS id, p_name AS a, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE CAST(p_size AS STRING) END AS b, CASE WHEN p_partkey % 7 = 0 THEN concat('a long cell full of words about ', p_name, ' that never ends at all') ELSE p_type END AS c FROM {part}"
 
 
-@query("grid_confidence", values([(0, 1.0), (1, 0.35), (2, 0.0)], "k, confidence"))
+@query(
+    "grid_confidence",
+    twin(_GRIDS, """, f AS (SELECT id, list_filter([a, b, c, 'x'], lambda s: trim(s) <> '') AS s FROM input),
+m AS (SELECT id, len(s) / 4.0 AS fill, list_sum(list_transform(s, lambda x: length(trim(x)))) / len(s) AS mean, len(list_filter(s, lambda x: regexp_matches(x, '[0-9]'))) / len(s) AS digits FROM f)
+SELECT id, round(CAST(0.35 * least(1.0, fill / 0.6) + 0.40 * greatest(0.0, least(1.0, (45 - mean) / 35)) + 0.25 * least(1.0, digits / 0.3) AS DOUBLE), 2) AS confidence FROM m"""),
+)
 def grid_confidence(spark, sf):
     """How much grids look like tables."""
-    rows = [(0, _CELLS), (1, [["a long cell full of words that never ends at all", "another cell that is as long as the first one is"]] * 2), (2, [["", ""]])]
-    return spark.createDataFrame(rows, "k int, grid array<array<string>>").select("k", layout.grid_confidence(F.col("grid")).alias("confidence"))
+    grid = F.array(F.array("a", "b"), F.array("c", F.lit("x")))
+    return made(spark, sf, _GRIDS).select("id", layout.grid_confidence(grid).alias("confidence"))
+
 
+@query("markdown_grid", twin(_GRIDS, "SELECT id, concat('| ', a, ' | ', b, '\\|z |', chr(10), '| --- | --- |', chr(10), '| ', c, ' |  |') AS md FROM input"))
+def markdown_grid(spark, sf):
+    """Ragged grids as Markdown."""
+    grid = F.array(F.array(F.col("a"), F.concat("b", F.lit("|z"))), F.array("c"))
+    return made(spark, sf, _GRIDS).select("id", T.grid_to_markdown(grid).alias("md"))
 
-_SPANS = [(1, 1, 1, "A Title of a Paper", 18.0, True, 50.0, 70.0, {"Bold": 18}), (1, 1, 2, "This is the first line of a paragraph that is long", 10.0, False, 100.0, 110.0, {"Roman": 50}), (1, 1, 3, "and this is its second line, which is as long as it", 10.0, False, 112.0, 122.0, {"Roman": 51}), (1, 1, 4, "A new paragraph begins here behind a wide empty gap", 10.0, False, 160.0, 170.0, {"Roman": 45, "Italic": 6}), (1, 1, 5, "E = mc²", 10.0, False, 200.0, 210.0, {"CMMI10": 5}), (1, 2, 1, "Figure 1: A caption", 9.0, False, 100.0, 109.0, {"Roman": 19})]
 
+# layout: lines
 
-def _spans(spark):
-    rows = [(p, g, s, t, (50.0, y0, 50.0 + 5 * len(t), y1), size, fonts, bold, False) for p, g, s, t, size, bold, y0, y1, fonts in _SPANS]
-    return spark.createDataFrame(rows, "paper_id long, page int, seq int, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>, size double, font_chars map<string,int>, bold boolean, in_margin boolean")
+_SPANS = """SELECT paper_id, page, seq, CASE k WHEN 0 THEN 'This is a line of a paragraph that goes on and on' WHEN 1 THEN 'Another line, which is a little longer than the others' WHEN 2 THEN 'Figure 1: A caption' WHEN 3 THEN 'A Short Heading' WHEN 4 THEN 'E = mc² + x' ELSE '- an item of a list' END AS text, k,
+CASE k WHEN 3 THEN 12.6 + paper_id % 3 * 2 WHEN 2 THEN 9.0 ELSE 10.0 END AS size, k = 3 AND paper_id % 2 = 0 AS bold, page = 2 AND seq = 7 AS in_margin, 50.0 + seq * 20 - CASE WHEN k < 2 THEN 9 ELSE 0 END AS y0, 60.0 + seq * 20 AS y1, 50.0 + paper_id % 5 AS x0,
+CASE WHEN k = 4 THEN 'CMMI10' WHEN paper_id % 4 = 0 AND k = 1 THEN 'Italic' ELSE 'Roman' END AS font
+FROM (SELECT DISTINCT l_orderkey AS paper_id, l_linenumber % 2 + 1 AS page, l_linenumber AS seq, (l_orderkey * 3 + l_linenumber * 5) % 6 AS k FROM {lineitem}) AS s"""
 
 
-@query("line_runs", values([(1, 1), (2, 2), (3, 1), (4, 1), (5, 1)], "run, n_lines"))
+def _spans(spark, sf) -> DataFrame:
+    rows = made(spark, sf, _SPANS)
+    for c in ("size", "x0", "y0", "y1"):
+        rows = rows.withColumn(c, F.col(c).cast("double"))
+    box = F.struct("x0", "y0", (F.col("x0") + 5 * F.length("text")).alias("x1"), "y1")
+    return rows.select("paper_id", "page", "seq", "text", "k", "size", "bold", "in_margin", box.alias("bbox"), F.create_map("font", F.length("text")).alias("font_chars"))
+
+
+@query(
+    "line_runs",
+    twin(_SPANS, """, o AS (SELECT *, lag(page) OVER w AS pp, lag(size) OVER w AS ps, lag(bold) OVER w AS pb, lag(in_margin) OVER w AS pm, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1 FROM input WINDOW w AS (PARTITION BY paper_id ORDER BY page, seq)),
+n AS (SELECT *, sum(CASE WHEN pp IS NULL OR pp <> page OR abs(size - ps) > 0.6 OR pb <> bold OR pm <> in_margin OR y0 - py1 >= 0.9 * greatest(1, py1 - py0) OR k = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id ORDER BY page, seq) AS run FROM o)
+SELECT paper_id, run, count(*) AS n_lines, string_agg(text, chr(10) ORDER BY page, seq) AS text FROM n GROUP BY ALL"""),
+)
 def line_runs(spark, sf):
     """Lines gathered into elements."""
-    return layout.line_runs(_spans(spark)).select("run", "n_lines")
+    return layout.line_runs(_spans(spark, sf)).select("paper_id", "run", "n_lines", "text")
+
 
+_BODY = """, z AS (SELECT paper_id, size, sum(length(text)) AS n FROM input WHERE NOT in_margin GROUP BY ALL), bs AS (SELECT paper_id, arg_max(size, n * 1000 - size) AS body_size FROM z GROUP BY paper_id) """
 
-@query("body_font_mode", values([(1, 10.0)], "paper_id, body_size"))
+
+@query("body_font_mode", twin(_SPANS, _BODY + "SELECT DISTINCT input.paper_id, CAST(coalesce(body_size, 10) AS DOUBLE) AS body_size FROM input LEFT JOIN bs USING (paper_id)"))
 def body_font_mode(spark, sf):
     """The size of most characters."""
-    return layout.body_size(_spans(spark))
+    return layout.body_size(_spans(spark, sf))
 
 
-@query("body_width_p90", values([(1, 255.0)], "paper_id, body_width"))
+@query("body_width_p90", twin(_SPANS, ", w AS (SELECT paper_id, 5.0 * length(text) AS w, row_number() OVER (PARTITION BY paper_id ORDER BY length(text) DESC) AS rn, count(*) OVER (PARTITION BY paper_id) AS n FROM input WHERE length(text) > 40) SELECT paper_id, CAST(w AS DOUBLE) AS body_width FROM w WHERE rn = n // 10 + 1"))
 def body_width_p90(spark, sf):
     """The width of long lines, a tenth of the way down."""
-    return layout.body_width(_spans(spark))
+    return layout.body_width(_spans(spark, sf))
+
 
+_FONTS = """, g AS (SELECT paper_id, font, sum(length(text)) AS n FROM input GROUP BY ALL), t AS (SELECT paper_id, sum(n) AS total FROM g GROUP BY paper_id),
+r AS (SELECT paper_id, font, total, sum(n) OVER (PARTITION BY paper_id ORDER BY n DESC, font ROWS UNBOUNDED PRECEDING) - n AS before FROM g JOIN t USING (paper_id) WHERE font <> 'CMMI10'),
+bf AS (SELECT paper_id, string_agg(font, ',' ORDER BY font) AS fonts FROM r WHERE before < 0.85 * total GROUP BY paper_id) """
 
-@query("body_fonts_cum85", values([(1, "Roman")], "paper_id, fonts"))
+
+@query("body_fonts_cum85", twin(_SPANS, _FONTS + "SELECT paper_id, fonts FROM bf"))
 def body_fonts_cum85(spark, sf):
     """The fonts of prose."""
-    return layout.body_fonts(_spans(spark)).select("paper_id", F.array_join("fonts", ",").alias("fonts"))
+    return layout.body_fonts(_spans(spark, sf)).select("paper_id", F.array_join("fonts", ",").alias("fonts"))
 
 
-@query("display_formulas", values([("E = mc²",)], "text"))
+@query("display_formulas", twin(_SPANS, _FONTS + ", w AS (SELECT paper_id, max(length(text)) AS longest FROM input WHERE length(text) > 40 GROUP BY paper_id) SELECT i.paper_id, seq FROM input i JOIN bf USING (paper_id) JOIN w USING (paper_id) WHERE k = 4"))
 def display_formulas(spark, sf):
     """Lines that are formulas."""
-    rows = _spans(spark).join(layout.body_fonts(_spans(spark)), "paper_id").join(layout.body_width(_spans(spark)), "paper_id")
-    return rows.where(layout.is_display_formula(F.col("text"), F.col("font_chars"), F.col("bbox"), F.col("fonts"), F.col("body_width"))).select("text")
+    spans = _spans(spark, sf)
+    rows = spans.join(layout.body_fonts(spans), "paper_id").join(layout.body_width(spans), "paper_id")
+    return rows.where(layout.is_display_formula(F.col("text"), F.col("font_chars"), F.col("bbox"), F.col("fonts"), F.col("body_width"))).select("paper_id", "seq")
 
 
-@query("classified_lines", values([(1, "heading", 1), (2, "paragraph", 0), (3, "paragraph", 0), (4, "paragraph", 0), (5, "paragraph", 0), (6, "caption", 0)], "k, kind, level"))
+@query(
+    "classified_lines",
+    twin(_SPANS, """, c AS (SELECT *, CASE WHEN k = 2 THEN 'caption' WHEN in_margin THEN CASE WHEN y0 < 200 THEN 'page_header' ELSE 'page_footer' END WHEN k = 3 AND (size >= 10.8 OR bold) THEN 'heading' WHEN k = 5 THEN 'list_item' ELSE 'paragraph' END AS kind FROM input)
+SELECT paper_id, seq, kind, CASE WHEN kind <> 'heading' THEN 0 WHEN size >= 15 THEN 1 WHEN size >= 12.5 THEN 2 WHEN size >= 10.8 THEN 3 ELSE 4 END AS level, CASE WHEN k = 2 THEN 'figure 1' ELSE '' END AS label FROM c"""),
+)
 def classified_lines(spark, sf):
     """Kinds of lines by their setting."""
     c = S.classify_line(F.col("text"), F.col("size"), F.col("bold"), F.col("in_margin"), F.col("bbox.y0"), F.lit(10.0))
-    return _spans(spark).select(F.when(F.col("page") == 2, 6).otherwise(F.col("seq")).alias("k"), c["kind"].alias("kind"), c["level"].alias("level"))
+    return _spans(spark, sf).select("paper_id", "seq", c["kind"].alias("kind"), c["level"].alias("level"), c["label"].alias("label"))
+
+
+# papers
 
+_READ = """SELECT paper_id, ord, CASE (paper_id + ord) % 5 WHEN 0 THEN 'table' WHEN 1 THEN 'figure' WHEN 2 THEN 'reference' ELSE 'paragraph' END AS kind, CASE WHEN (paper_id * ord) % 3 = 0 THEN 'unknown' ELSE 'methods' END AS section, CASE WHEN ord % 2 = 0 THEN 'a caption' ELSE ' ' END AS caption,
+CASE WHEN paper_id % 3 = 0 THEN 'rendered' WHEN paper_id % 11 = 0 THEN 'ocr' ELSE 'embedded' END AS source, paper_id % 2 = 0 AS structure_confident FROM (SELECT DISTINCT l_orderkey AS paper_id, l_linenumber AS ord FROM {lineitem}) AS e"""
+_READ_PAGES = "SELECT o_orderkey AS paper_id, k, (o_orderkey + k) % 4 = 0 AS needs_ocr FROM {orders} JOIN (VALUES (0), (1), (2)) AS p(k) ON k <= o_orderkey % 3"
 
-@query("quality_score", values([(1, 1.0, "good", "no_references"), (2, 0.15, "poor", "scanned_pages,sparse,no_visuals"), (3, 0.5, "poor", "inferred_tables,sparse,unclassified")], "paper_id, score, grade, concerns"))
+
+@query(
+    "quality_score",
+    twin(_READ, f""", pages AS ({_READ_PAGES.replace("{orders}", "orders")}),
+e AS (SELECT paper_id, count(*) AS n, count(*) FILTER (kind = 'table') AS tables, count(*) FILTER (kind = 'table' AND NOT structure_confident) AS inferred, count(*) FILTER (kind = 'figure') AS figures, count(*) FILTER (kind = 'figure' AND source = 'rendered') AS cropped,
+      count(*) FILTER (kind = 'figure' AND trim(caption) = '') AS uncaptioned, count(*) FILTER (kind = 'reference') AS refs, count(*) FILTER (kind = 'paragraph') AS prose, count(*) FILTER (section = 'unknown') AS unclassified, bool_or(source = 'ocr') AS ocr FROM input GROUP BY paper_id),
+p AS (SELECT paper_id, count(*) AS pages, count(*) FILTER (needs_ocr) AS scanned FROM pages GROUP BY paper_id),
+j AS (SELECT paper_id, coalesce(n, 0) AS n, coalesce(tables, 0) AS tables, coalesce(inferred, 0) AS inferred, coalesce(figures, 0) AS figures, coalesce(cropped, 0) AS cropped, coalesce(uncaptioned, 0) AS uncaptioned, coalesce(refs, 0) AS refs, coalesce(prose, 0) AS prose, coalesce(unclassified, 0) AS unclassified,
+      coalesce(ocr, false) AS ocr, greatest(coalesce(pages, 0), 1) AS pages, coalesce(scanned, 0) AS scanned FROM p FULL JOIN e USING (paper_id)),
+s AS (SELECT *, round(CAST(greatest(0.0, least(1.0, 1.0 - CASE WHEN scanned > 0 AND NOT ocr THEN least(0.55, 0.15 + scanned / pages * 0.6) ELSE 0 END - CASE WHEN inferred > 0 THEN least(0.3, 0.12 + inferred / greatest(tables, 1) * 0.25) ELSE 0 END - CASE WHEN n < pages * 5 THEN 0.2 ELSE 0 END
+      - CASE WHEN tables = 0 AND figures = 0 THEN 0.1 ELSE 0 END - CASE WHEN cropped > 0 THEN least(0.12, cropped / greatest(figures, 1) * 0.12) ELSE 0 END - CASE WHEN figures > 0 AND uncaptioned / figures > 0.5 THEN 0.08 ELSE 0 END - CASE WHEN n > 0 AND unclassified / greatest(n, 1) > 0.6 THEN 0.1 ELSE 0 END)) AS DOUBLE), 6) AS score FROM j)
+SELECT paper_id, round(score, 4) AS score, CASE WHEN score >= 0.8 THEN 'good' WHEN score >= 0.55 THEN 'fair' ELSE 'poor' END AS grade, concat_ws(',', CASE WHEN scanned > 0 AND NOT ocr THEN 'scanned_pages' END, CASE WHEN inferred > 0 THEN 'inferred_tables' END, CASE WHEN n < pages * 5 THEN 'sparse' END,
+CASE WHEN tables = 0 AND figures = 0 THEN 'no_visuals' END, CASE WHEN cropped > 0 THEN 'cropped_figures' END, CASE WHEN figures > 0 AND uncaptioned / figures > 0.5 THEN 'uncaptioned_figures' END, CASE WHEN n > 0 AND unclassified / n > 0.6 THEN 'unclassified' END, CASE WHEN prose > 0 AND refs = 0 THEN 'no_references' END) AS concerns FROM s"""),
+)
 def quality_score(spark, sf):
-    """How well three papers were read."""
-    e = [(1, "paragraph", "methods", None, None, None)] * 9 + [(1, "figure", "results", "Figure 1", "embedded", None)]
-    e += [(2, "heading", "introduction", None, None, None)]
-    e += [(3, "table", "unknown", None, None, False), (3, "table", "unknown", None, None, True), (3, "table", "", None, None, True)]
-    elements = spark.createDataFrame(e, "paper_id long, kind string, section string, caption string, source string, structure_confident boolean")
-    pages = spark.createDataFrame([(1, False), (1, False), (2, True), (3, False)], "paper_id long, needs_ocr boolean")
-    return quality.assess(elements, pages).select("paper_id", F.round("score", 2).alias("score"), "grade", F.array_join(F.transform("concerns", lambda c: c["id"]), ",").alias("concerns"))
+    """How well papers were read."""
+    got = quality.assess(made(spark, sf, _READ), made(spark, sf, _READ_PAGES))
+    return got.select("paper_id", F.round("score", 4).alias("score"), "grade", F.array_join(F.transform("concerns", lambda c: c["id"]), ",").alias("concerns"))
+
+
+_WANTED = """SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN concat('1607.', lpad(CAST(p_partkey % 100000 AS STRING), 5, '0')) END AS arxiv_id, CASE WHEN p_partkey % 4 = 1 THEN concat('10.1/AB', CAST(p_partkey AS STRING)) END AS doi, CASE WHEN p_partkey % 4 = 3 AND p_partkey % 8 = 3 THEN 'https://e.org/a' END AS url,
+CASE WHEN p_partkey % 4 > 1 THEN concat('On ', p_name, ' number ', CAST(p_partkey AS STRING)) END AS title FROM {part}"""
+_PAPERS = "SELECT c_custkey + 100000 AS paper_id, concat('1607.', lpad(CAST(c_custkey % 100000 AS STRING), 5, '0')) AS arxiv_id, concat('10.1/ab', CAST(c_custkey AS STRING)) AS doi, CAST(NULL AS STRING) AS title, c_custkey AS created_at FROM {customer}"
+_TITLED = "SELECT p_partkey + 200000 AS paper_id, '' AS arxiv_id, '' AS doi, concat('ON ', p_name, ': Number ', CAST(p_partkey AS STRING), '.') AS title, p_partkey AS created_at FROM {part} WHERE p_partkey % 3 = 0"
 
 
-@query("references_in_library", values([(1, 11, True), (2, 12, True), (3, 13, True), (4, None, False)], "id, paper_id, in_library"))
+def _wanted(spark, sf) -> DataFrame:
+    return made(spark, sf, _WANTED).select("id", F.struct("arxiv_id", "doi", "url", "title").alias("ref"))
+
+
+@query(
+    "references_in_library",
+    twin(_WANTED, """, f AS (SELECT id, CASE WHEN (arxiv_id IS NOT NULL AND id < (SELECT count(*) FROM customer)) OR (doi IS NOT NULL AND id < (SELECT count(*) FROM customer)) THEN id + 100000 WHEN title IS NOT NULL AND id % 3 = 0 THEN id + 200000 END AS paper_id, arxiv_id, doi, url FROM input)
+SELECT id, paper_id, paper_id IS NOT NULL AS in_library, paper_id IS NULL AND coalesce(arxiv_id, doi, url) IS NOT NULL AS can_add FROM f"""),
+)
 def references_in_library(spark, sf):
-    """Which references are papers of the library."""
-    r = [(1, "1607.06450", None, None), (2, None, "10.1/AB", None), (3, None, None, "Attention is all you need"), (4, None, None, "Something else entirely")]
-    references = spark.createDataFrame([(i, (a, d, None, t)) for i, a, d, t in r], "id long, ref struct<arxiv_id:string,doi:string,url:string,title:string>")
-    papers = spark.createDataFrame([(11, "1607.06450", "", "x", 1), (12, "", "10.1/ab", "y", 2), (13, "", "", "Attention Is All You Need", 3)], "paper_id long, arxiv_id string, doi string, title string, created_at long")
-    return refs.in_library(references, papers).select("id", "paper_id", "in_library")
+    """Which references are papers of the library, by arXiv id, DOI or title."""
+    papers = made(spark, sf, _PAPERS).unionByName(made(spark, sf, _TITLED))
+    return refs.in_library(_wanted(spark, sf), papers).select("id", "paper_id", "in_library", "can_add")
+
 
+_WORKS = "SELECT concat('w', CAST(p_partkey AS STRING)) AS id, CASE WHEN p_partkey % 2 = 0 THEN 'arxiv' ELSE 'crossref' END AS source, concat('https://w.org/', CAST(p_partkey AS STRING)) AS url, concat('on ', p_name, ' - Number ', CAST(p_partkey AS STRING)) AS title FROM {part} WHERE p_partkey % 5 <> 0"
 
-@query("resolved_references", values([(1, "printed", "1607.06450", 1.0), (2, "crossref", "w2", 1.0), (3, "printed", "https://e.org", 0.8), (4, None, None, None)], "id, source, found, confidence"))
+
+@query(
+    "resolved_references",
+    twin(_WANTED, """SELECT id, CASE WHEN arxiv_id IS NOT NULL OR doi IS NOT NULL THEN 'printed' WHEN id % 5 <> 0 THEN CASE WHEN id % 2 = 0 THEN 'arxiv' ELSE 'crossref' END WHEN url IS NOT NULL THEN 'printed' END AS source,
+CASE WHEN arxiv_id IS NOT NULL THEN arxiv_id WHEN doi IS NOT NULL THEN doi WHEN id % 5 <> 0 THEN concat('w', id) ELSE url END AS found, CASE WHEN arxiv_id IS NOT NULL THEN 1.0 WHEN doi IS NOT NULL THEN 0.95 WHEN id % 5 <> 0 THEN 1.0 WHEN url IS NOT NULL THEN 0.8 END AS confidence FROM input"""),
+)
 def resolved_references(spark, sf):
     """References resolved by what is printed and by title."""
-    r = [(1, "1607.06450", None, None, "Layer normalization"), (2, None, "10.1/x", None, "A great survey of things"), (3, None, None, "https://e.org", None), (4, None, None, None, "Unheard of work")]
-    references = spark.createDataFrame([(i, (a, d, u, t)) for i, a, d, u, t in r], "id long, ref struct<arxiv_id:string,doi:string,url:string,title:string>")
-    works = spark.createDataFrame([("w1", "arxiv", "u1", "Great surveys"), ("w2", "crossref", "u2", "A Great Survey of Things")], "id string, source string, url string, title string")
-    return refs.resolve(references, works).select("id", "resolved.source", F.col("resolved.id").alias("found"), "resolved.confidence")
+    return refs.resolve(_wanted(spark, sf), made(spark, sf, _WORKS)).select("id", "resolved.source", F.col("resolved.id").alias("found"), "resolved.confidence")
+
 
+_BIB = """SELECT p_partkey AS paper_id, concat('Attention to {', p_name, '}') AS title, 1990 + p_partkey % 30 AS year, CASE WHEN p_partkey % 2 = 0 THEN 'NeurIPS' ELSE '' END AS venue, CASE WHEN p_partkey % 3 = 0 THEN concat('10.1/', CAST(p_partkey AS STRING)) END AS doi FROM {part}"""
 
-@query("bibtex_entries", values([(1, "@article{vaswani2017attention,\n  title = {Attention Is All You Need},\n  author = {Ashish Vaswani and Noam Shazeer},\n  year = {2017},\n  journal = {NeurIPS},\n  eprint = {1706.03762}\n}\n")], "paper_id, bib"))
+
+@query(
+    "bibtex_entries",
+    twin(_BIB.replace("{'", "<'").replace("}'", ">'"), """SELECT paper_id, concat(CASE WHEN venue <> '' THEN '@article<' ELSE '@misc<' END, 'vaswani', year, 'attention,', chr(10), '  title = <Attention to ', (SELECT p_name FROM part WHERE p_partkey = paper_id), '>,', chr(10), '  author = <Ashish Vaswani and Noam Shazeer>,', chr(10), '  year = <', year, '>',
+CASE WHEN venue <> '' THEN concat(',', chr(10), '  journal = <NeurIPS>') ELSE '' END, CASE WHEN doi IS NOT NULL THEN concat(',', chr(10), '  doi = <', doi, '>') ELSE '' END, chr(10), '>', chr(10)) AS bib FROM input""").replace("<>", "!=").replace("@article<", "@article{").replace("<", "{").replace(">", "}").replace("!=", "<>"),
+)
 def bibtex_entries(spark, sf):
-    """A paper as BibTeX."""
-    rows = [(1, "Attention Is {All} You Need", ["Ashish Vaswani", "Noam Shazeer"], 2017, "NeurIPS", "", "1706.03762", None)]
-    return exports.bibtex(spark.createDataFrame(rows, "paper_id long, title string, authors array<string>, year int, venue string, doi string, arxiv_id string, source_url string"))
+    """Papers as BibTeX."""
+    rows = made(spark, sf, _BIB.replace("{'", "{{'").replace("}'", "}}'"))
+    return exports.bibtex(rows.select("paper_id", "title", F.array(F.lit("Ashish Vaswani"), F.lit("Noam Shazeer")).alias("authors"), "year", "venue", "doi", F.lit("").alias("arxiv_id"), F.lit(None).cast("string").alias("source_url")))
+
+
+_LIBRARY = "SELECT concat(p_name, ' ', CAST(p_partkey AS STRING)) AS title, p_type, CASE p_partkey % 3 WHEN 0 THEN 'unread' WHEN 1 THEN 'read' ELSE 'rejected' END AS read_state, CASE WHEN p_partkey % 4 = 0 THEN p_brand ELSE '' END AS verdict FROM {part}"
 
 
-@query("library_list", values([(1, "unread", "## Unread\n\n- B (X, Y)\n"), (3, "read", "## Read\n\n- A: good\n- C\n")], "state_no, read_state, markdown"))
+@query(
+    "library_list",
+    twin(_LIBRARY, """SELECT CASE read_state WHEN 'unread' THEN 1 WHEN 'read' THEN 3 ELSE 4 END AS state_no, read_state,
+concat('## ', upper(left(read_state, 1)), substr(read_state, 2), chr(10), chr(10), string_agg(concat('- ', title, ' (', p_type, ', Y)', CASE WHEN verdict <> '' THEN concat(': ', verdict) ELSE '' END), chr(10) ORDER BY title), chr(10)) AS markdown FROM input GROUP BY read_state"""),
+)
 def library_list(spark, sf):
     """A reading list by state."""
-    rows = [("B", ["X", "Y"], "unread", None), ("A", [], "read", "good"), ("C", [], "read", "")]
-    return exports.library_markdown(spark.createDataFrame(rows, "title string, authors array<string>, read_state string, verdict string"))
+    rows = made(spark, sf, _LIBRARY)
+    return exports.library_markdown(rows.select("title", F.array("p_type", F.lit("Y")).alias("authors"), "read_state", "verdict"))
 
 
-@query("markdown_grid", values([(1, "| a | b\\|c |\n| --- | --- |\n| 1 |  |")], "k, md"))
-def markdown_grid(spark, sf):
-    """A ragged grid as Markdown."""
-    return spark.createDataFrame([(1, [["a", "b|c"], ["1"]])], "k int, grid array<array<string>>").select("k", T.grid_to_markdown(F.col("grid")).alias("md"))
+_HITS = f"""SELECT item_id AS query_id, k AS rank, item_id * 10 + k AS chunk_id, concat(CASE k WHEN 1 THEN 'Layers of ' ELSE 'Nothing else than ' END, CAST(item_id AS STRING), ' holds. ', 'More follows. ', substring(text, 1, 60)) AS body FROM {{benchmark}} JOIN {listed([(1,), (2,)], 'h(k)')} ON k <= item_id % 3"""
 
 
-@query("extractive_answers", values([(1, "Layers are normalised [1] Nothing else holds [2]", "1,2", False), (2, "", "", True)], "query_id, text, used, evidence_only"))
+@query(
+    "extractive_answers",
+    twin(_HITS, """, a AS (SELECT query_id, string_agg(concat(CASE rank WHEN 1 THEN 'Layers of ' ELSE 'Nothing else than ' END, query_id, ' holds. [', rank, ']'), ' ' ORDER BY rank) AS text, string_agg(CAST(rank AS VARCHAR), ',' ORDER BY rank) AS used FROM input GROUP BY query_id)
+SELECT item_id AS query_id, coalesce(a.text, '') AS text, coalesce(used, '') AS used, a.text IS NULL AS evidence_only FROM benchmark LEFT JOIN a ON item_id = query_id"""),
+)
 def extractive_answers(spark, sf):
-    """Answers of the offline generator, with checked citations."""
-    hits = [(1, 1, 100, "text", "A Paper", 3, "methods", ["2 Methods"], "", "Layers are normalised. More follows.", False), (1, 2, 101, "table", "A Paper", 4, "unknown", [], "Table 1", "Nothing else holds. Really.", True)]
-    contexts = answers.build_context(spark.createDataFrame(hits, "query_id long, rank int, chunk_id long, kind string, title string, page int, section string, section_path array<string>, label string, display_text string, inferred boolean"))
-    questions = spark.createDataFrame([(1, "what is done"), (2, "what else")], "query_id long, text string")
-    got = answers.ask(contexts, questions, answers.Extractive())
-    return got.select("query_id", F.regexp_replace("text", r"\. \[", " [").alias("text"), F.array_join(F.col("used").cast("array<string>"), ",").alias("used"), "evidence_only")
+    """Answers of the offline generator, with checked citations; questions without excerpts have none."""
+    const = {"kind": "text", "title": "A Paper", "section": "methods", "label": ""}
+    hits = made(spark, sf, _HITS).withColumns({k: F.lit(v) for k, v in const.items()}).withColumns({"page": F.lit(3), "section_path": F.array(F.lit("2 Methods")), "inferred": F.col("rank") == 2}).withColumnRenamed("body", "display_text")
+    questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    got = answers.ask(answers.build_context(hits), questions, answers.Extractive())
+    return got.select("query_id", "text", F.array_join(F.col("used").cast("array<string>"), ",").alias("used"), "evidence_only")
+
+
+# chunks
 
+_FOUR = "SELECT o_orderkey AS id, lpad(CAST(o_orderkey % 1000000 AS STRING), 6, '0') AS n FROM {orders}"
 
-@query("packed_sentences", values([(0, "One two three. Four five six."), (1, "Four five six. Seven eight nine."), (2, "Seven eight nine. Ten.")], "k, piece"))
+
+@query("packed_sentences", twin(_FOUR, f"SELECT id, k, concat('A', k, ' is ', n, '. A', k + 1, ' is ', n, '.') AS piece FROM input CROSS JOIN {listed([(0,), (1,), (2,)], 'p(k)')}"))
 def packed_sentences(spark, sf):
-    """Sentences packed with a whole sentence in common."""
-    t = "One two three. Four five six. Seven eight nine. Ten."
-    return spark.createDataFrame([(t,)], "t string").select(F.posexplode(chunking.pack_sentences(F.col("t"), 34, 20)).alias("k", "piece"))
+    """Sentences of fourteen characters, two a piece, one in common with the next."""
+    t = F.array_join(F.array(*(F.concat(F.lit(f"A{k} is "), "n", F.lit(".")) for k in range(4))), " ")
+    return made(spark, sf, _FOUR).select("id", F.posexplode(chunking.pack_sentences(t, 34, 20)).alias("k", "piece"))
+
+
+_ELEMENTS = f"""SELECT p_partkey AS paper_id, ord, kind, page, section, linked_id, CASE kind WHEN 'heading' THEN '1 Introduction' WHEN 'table' THEN concat('a 1 b ', p_name) WHEN 'page_footer' THEN '7' WHEN 'caption' THEN 'Figure 1: linked'
+ELSE concat('A sentence about ', p_name, ' that says a thing or two about the matter at hand, and then it goes on for some more words until it ends.') END AS text
+FROM {{part}} CROSS JOIN {listed([(0, "heading", 1, "introduction", ""), (1, "paragraph", 1, "introduction", ""), (2, "table", 2, "introduction", ""), (3, "paragraph", 2, "introduction", ""), (4, "paragraph", 3, "methods", ""), (5, "paragraph", 3, "methods", ""), (6, "page_footer", 3, "methods", ""), (7, "caption", 3, "methods", "x")], "e(ord, kind, page, section, linked_id)")}"""
 
 
-@query("chunked_elements", values([(0, "text", "0,1", 1), (1, "table", "2", 2), (2, "text", "3", 2), (3, "text", "4", 3)], "ord, kind, elements, page"))
+@query("chunked_elements", twin(_ELEMENTS, f""", c AS (SELECT * FROM {listed([(0, 'text', '0,1', 1), (1, 'table', '2', 2), (2, 'text', '3', 2), (3, 'text', '4,5', 3)], 'c(no, kind, elements, page)')}), s AS (SELECT * FROM {listed([(0, 0), (0, 1), (1, 2), (2, 3), (3, 4), (3, 5)], 's(no, ord)')})
+SELECT paper_id, no AS ord, c.kind, elements, c.page, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS display_text FROM input JOIN s USING (ord) JOIN c USING (no) GROUP BY paper_id, no, c.kind, elements, c.page"""))
 def chunked_elements(spark, sf):
-    """Elements gathered into chunks."""
-    p = "A sentence of some length that says a thing or two about the matter at hand. "
-    rows = [(1, "heading", "1 Introduction", 1, 0, "introduction", ""), (1, "paragraph", p * 3, 1, 1, "introduction", ""), (1, "table", "a 1 b 2", 2, 2, "introduction", ""), (1, "paragraph", p * 2, 2, 3, "introduction", ""), (1, "paragraph", p * 4, 3, 4, "methods", ""), (1, "page_footer", "7", 3, 5, "methods", ""), (1, "caption", "Figure 1: linked", 3, 6, "methods", "x")]
-    elements = spark.createDataFrame([(*r[:6], [r[5]], "", "", "", r[6]) for r in rows], "paper_id long, kind string, text string, page int, ord int, section string, section_path array<string>, label string, caption string, search_text string, linked_id string")
-    papers = spark.createDataFrame([(1, "A Paper")], "paper_id long, title string")
-    return chunking.chunk_elements(elements, papers).select("ord", "kind", F.array_join(F.col("element_ords").cast("array<string>"), ",").alias("elements"), "page")
+    """Elements gathered into chunks: a table alone, prose until the section changes, neither footers nor linked captions."""
+    elements = made(spark, sf, _ELEMENTS).withColumns({"section_path": F.array("section"), "label": F.lit(""), "caption": F.lit(""), "search_text": F.lit("")})
+    papers = table(spark, sf, "part").select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title"))
+    return chunking.chunk_elements(elements, papers).select("paper_id", "ord", "kind", F.array_join(F.col("element_ords").cast("array<string>"), ",").alias("elements"), "page", "display_text")
+
+
+_ASKED = "SELECT concat('lens ', CAST(item_id AS STRING)) AS topic_id, text, item_id % 2 = 0 AS comparison FROM {benchmark}"
 
 
-@query("lens_queries", None)
+@query(
+    "lens_queries",
+    twin(_ASKED, """SELECT topic_id, 0 AS query_no, text, CAST(1.0 AS DOUBLE) AS weight FROM input UNION ALL SELECT topic_id, 1, left(text, 20), CASE WHEN comparison THEN 0.8 ELSE 0.75 END FROM input UNION ALL SELECT topic_id, 2, right(text, 20), CASE WHEN comparison THEN 0.8 ELSE 0.75 END FROM input"""),
+)
 def lens_queries(spark, sf):
-    """All queries of all lenses with their weights."""
-    return answers.lens_queries(answers.lenses(spark))
+    """The queries of lenses with their weights, a question before those of each."""
+    rows = made(spark, sf, _ASKED)
+    lenses = rows.select(F.col("topic_id").alias("id"), "comparison", F.array(F.expr("left(text, 20)"), F.expr("right(text, 20)")).alias("queries"))
+    return answers.lens_queries(lenses, rows.select("topic_id", "text"))

@@ -8,7 +8,7 @@ from paperloom.functions import text as T
 from paperloom.functions.scholarly import label_references
 from paperloom.operators import chunking, dense, fusion, lexical, refs, retrieval
 from paperloom.plans.registry import query
-from paperloom.runtime import table
+from paperloom.runtime import spread, table
 
 
 def norm(x: str) -> str:
@@ -38,13 +38,13 @@ s AS (SELECT q.query_id, p.scope, p.doc_id, round(sum(idf * (qf * 2.2 / (qf + 1.
 @query("science_token_counts", f"SELECT term, count(*) AS n FROM (SELECT unnest({toks('text')}) AS term FROM documents) GROUP BY term")
 def science_token_counts(spark, sf):
     """Occurrences of each scientific token."""
-    return table(spark, sf, "documents").select(F.explode(T.science_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return spread(table(spark, sf, "documents").select("text")).select(F.explode(T.science_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("word_tokens", f"SELECT doc_id, len(list_filter(regexp_extract_all({norm('text')}, '[a-z0-9]+'), lambda w: w NOT IN ({words(T.STOPWORDS)}) AND length(w) > 1)) AS n_tokens FROM documents")
 def word_tokens(spark, sf):
     """Words of each document without stopwords."""
-    return table(spark, sf, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 _strip = "regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g')"
@@ -56,13 +56,13 @@ _strip = rf"trim(regexp_replace({_strip}, '\s+', ' ', 'g'))"
 @query("strip_html_text", f"SELECT page_id, {_strip} AS body FROM pages")
 def strip_html_text(spark, sf):
     """Pages without markup."""
-    return table(spark, sf, "pages").select("page_id", T.strip_html(F.col("html")).alias("body"))
+    return spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", T.strip_html(F.col("html")).alias("body"))
 
 
 @query("content_hashes", f"SELECT page_id, sha256({norm(_strip)}) AS content_hash FROM pages")
 def content_hashes(spark, sf):
     """Hashes of pages' normalised texts."""
-    return table(spark, sf, "pages").select("page_id", T.content_hash(F.col("html")).alias("content_hash"))
+    return spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", T.content_hash(F.col("html")).alias("content_hash"))
 
 
 _slug = f"trim(regexp_replace({norm('p_name')}, '[^a-z0-9]+', '-', 'g'), '-')"
@@ -94,7 +94,7 @@ ELSE len(list_filter(k, lambda x: length(x) = 1)) / len(k) > 0.33 OR (len(k) >=
 )
 def degenerate_flags(spark, sf):
     """Which documents are noise rather than writing."""
-    return table(spark, sf, "documents").select("doc_id", chunking.looks_degenerate(F.col("text")).alias("degenerate"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", chunking.looks_degenerate(F.col("text")).alias("degenerate"))
 
 
 @query("identify_urls", "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/]+', 'i') THEN 'url' ELSE 'unknown' END AS kind, url AS id FROM pages")
@@ -104,21 +104,22 @@ def identify_urls(spark, sf):
     return table(spark, sf, "pages").select("page_id", found["kind"].alias("kind"), found["id"].alias("id"))
 
 
-@query("query_weights", None)
-def query_weights(spark, sf):
-    """Weights of the legs by the shape of each message."""
-    w = fusion.leg_weights(F.col("text"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", *(w[x].cast("double").alias(x) for x in ("lexical", "dense", "visual")))
+def _cues(pattern: str) -> str:
+    return f"regexp_matches(coalesce(text, ''), '{pattern.removeprefix('(?i)')}', 'i')"
 
 
-def _weights_sql() -> str:
-    m = lambda p: f"regexp_matches(coalesce(text, ''), '{p.removeprefix('(?i)')}', 'i')"
-    n, c, v = m(fusion.NUMERIC), m(fusion.CONCEPTUAL), m(fusion.VISUAL)
-    return f"""SELECT conv_id, turn, CAST(CASE WHEN {c} THEN greatest(0.6, (CASE WHEN {n} THEN 1.5 ELSE 1.0 END) * 0.75) WHEN {n} THEN 1.5 ELSE 1.0 END AS DOUBLE) AS lexical,
-CAST(CASE WHEN {c} THEN 1.4 WHEN {n} THEN 0.85 ELSE 1.0 END AS DOUBLE) AS dense, CAST(CASE WHEN {v} THEN 1.5 ELSE 0.7 END AS DOUBLE) AS visual FROM conversations"""
+_N, _C, _V = _cues(fusion.NUMERIC), _cues(fusion.CONCEPTUAL), _cues(fusion.VISUAL)
 
 
-query("query_weights_sql", _weights_sql())(query_weights)
+@query(
+    "query_weights",
+    f"""SELECT conv_id, turn, CAST(CASE WHEN {_C} THEN greatest(0.6, (CASE WHEN {_N} THEN 1.5 ELSE 1.0 END) * 0.75) WHEN {_N} THEN 1.5 ELSE 1.0 END AS DOUBLE) AS lexical,
+CAST(CASE WHEN {_C} THEN 1.4 WHEN {_N} THEN 0.85 ELSE 1.0 END AS DOUBLE) AS dense, CAST(CASE WHEN {_V} THEN 1.5 ELSE 0.7 END AS DOUBLE) AS visual FROM conversations""",
+)
+def query_weights(spark, sf):
+    """Weights of the legs by the shape of each message."""
+    w = fusion.leg_weights(F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", *(w[x].cast("double").alias(x) for x in ("lexical", "dense", "visual")))
 
 
 @query("bm25_idf", f"WITH {BM25.format(scope="'all'")} SELECT term, df, round(idf, 6) AS idf FROM t")
@@ -145,7 +146,7 @@ def per_source_bm25(spark, sf):
 
 def _overlap_leg(spark, sf, k: int):
     """A second leg: how many different words a passage and a document share, weighted by nothing."""
-    docs, queries = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    docs, queries = spread(table(spark, sf, "documents").select("doc_id", "text")), table(spark, sf, "benchmark")
     d = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("w"))
     q = queries.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("w"))
     scores = d.join(q, "w").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
@@ -190,7 +191,32 @@ def _chunks(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.col("source").alias("paper_id"), F.col("lang").alias("section"), F.lit("text").alias("kind"), F.col("doc_id").alias("ord"), F.lit("").alias("label"), "text")
 
 
-@query("hybrid_search")
+_STOPPED = f"list_filter(regexp_extract_all(t, '[a-z0-9]+'), lambda w: w NOT IN ({words(T.STOPWORDS)}) AND length(w) > 1)"
+
+
+def _vectors(prefix: str, source: str, key: str) -> str:
+    """Hashed vectors in SQL: (id, slot, value) of unit length as {prefix}v."""
+    return f"""
+{prefix}t AS (SELECT {key} AS id, {norm("text")} AS t FROM {source}), {prefix}w AS (SELECT id, replace(t, ' ', '_') AS flat, {_STOPPED} AS w FROM {prefix}t),
+{prefix}f AS (SELECT id, 'w:' || unnest(w) AS f FROM {prefix}w UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: 'b:' || w[i] || '_' || w[i + 1])) FROM {prefix}w
+  UNION ALL SELECT id, unnest(list_transform(range(1, length(flat) - 2), lambda i: 'c:' || substr(flat, i, 4))) FROM {prefix}w),
+{prefix}c AS (SELECT id, f, md5(f) AS h, 1 + ln(count(*)) AS x FROM {prefix}f GROUP BY id, f),
+{prefix}s AS (SELECT id, CAST('0x' || substr(h, 1, 7) AS BIGINT) % 1024 AS slot, sum(CASE WHEN substr(h, 8, 1) >= '8' THEN -x ELSE x END) AS value FROM {prefix}c GROUP BY ALL),
+{prefix}v AS (SELECT id, slot, value / sqrt(sum(value * value) OVER (PARTITION BY id)) AS value FROM {prefix}s)"""
+
+
+@query(
+    "hybrid_search",
+    f"""WITH {BM25.format(scope="'all'")}, {_vectors("d", "documents", "doc_id")}, {_vectors("q", "benchmark", "item_id")},
+hs AS (SELECT qv.id AS query_id, dv.id AS doc_id, round(sum(qv.value * dv.value), 6) AS score FROM qv JOIN dv USING (slot) GROUP BY ALL),
+legs AS (SELECT query_id, 'lexical' AS leg, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 40
+  UNION ALL SELECT query_id, 'dense', doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hs QUALIFY rank <= 40),
+weights AS (SELECT item_id AS query_id, CASE WHEN {_C} THEN greatest(0.6, (CASE WHEN {_N} THEN 1.5 ELSE 1.0 END) * 0.75) WHEN {_N} THEN 1.5 ELSE 1.0 END AS lexical, CASE WHEN {_C} THEN 1.4 WHEN {_N} THEN 0.85 ELSE 1.0 END AS dense FROM benchmark),
+hf AS (SELECT query_id, doc_id, round(sum(CAST(CASE leg WHEN 'lexical' THEN lexical ELSE dense END AS DOUBLE) / (60 + rank)), 6) AS score FROM legs JOIN weights USING (query_id) GROUP BY ALL),
+hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM hf QUALIFY r <= 40),
+hg AS (SELECT hr.*, row_number() OVER (PARTITION BY query_id, source, lang ORDER BY r) > 4 AS late FROM hr JOIN documents USING (doc_id))
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY late, r) AS rank FROM hg QUALIFY rank <= 12""",
+)
 def hybrid_search(spark, sf):
     """The flagship: words and hashed vectors, weighted by the passage's shape, fused, diversified; the twelve best documents of each passage."""
     docs = table(spark, sf, "documents")
@@ -209,7 +235,7 @@ def hybrid_search(spark, sf):
 )
 def find_everywhere(spark, sf):
     """Every document that holds a benchmark passage word for word."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
     needles = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
     return retrieval.find_everywhere(docs, needles, "text").select("query_id", "doc_id", "lang")
 
@@ -272,22 +298,28 @@ def dense_topk(spark, sf):
     return dense.search(vectors, vectors.where("id % 20 = 0"), 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
-_PAIRS = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS l FROM e)
+#: The fixtures hold no near copies of vectors, so every tenth comes once more, a little changed.
+_PAIRS = """WITH o AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), e AS (SELECT * FROM o UNION ALL SELECT vec_id + 1000000, label, list_transform(v, lambda x, i: x * (1.0 + (i % 4) * 0.25)) FROM o WHERE vec_id % 10 = 0),
+n AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS l FROM e)
 SELECT a.vec_id AS a, b.vec_id AS b, round(round(list_dot_product(a.v, b.v) / (a.l * b.l), 6), 4) AS score FROM n a JOIN n b ON a.vec_id < b.vec_id{same} WHERE round(list_dot_product(a.v, b.v) / (a.l * b.l), 6) >= {least}"""
 
 
+def _copied_vectors(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("vec"))
+    changed = vectors.where("id % 10 = 0").select((F.col("id") + 1000000).alias("id"), "label", F.transform("vec", lambda x, i: x * (1.0 + ((i + 1) % 4) * 0.25)).alias("vec"))
+    return vectors.unionByName(changed)
+
+
 @query("near_duplicate_vectors", _PAIRS.format(same="", least=0.9))
 def near_duplicate_vectors(spark, sf):
     """All pairs of vectors with a cosine of nine tenths or more."""
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return dense.similar_pairs(vectors, dense.CUTS["base"][0]).select("a", "b", F.round("score", 4).alias("score"))
+    return dense.similar_pairs(_copied_vectors(spark, sf), dense.CUTS["base"][0]).select("a", "b", F.round("score", 4).alias("score"))
 
 
-@query("cluster_pairs", _PAIRS.format(same=" AND a.label = b.label", least=0.72))
+@query("cluster_pairs", _PAIRS.format(same=" AND a.label = b.label", least=0.24))
 def cluster_pairs(spark, sf):
-    """Pairs of one label above the cut of a cluster."""
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vec"))
-    return dense.similar_pairs_native(vectors, "label", dense.CUTS["base"][1]).select("a", "b", F.round("score", 4).alias("score"))
+    """Pairs of one label above the lexical cut of a cluster."""
+    return dense.similar_pairs(_copied_vectors(spark, sf), dense.CUTS["lexical"][1], group="label").select("a", "b", F.round("score", 4).alias("score"))
 
 
 @query("pooled_vectors", "SELECT label, i - 1 AS i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL")
@@ -297,22 +329,30 @@ def pooled_vectors(spark, sf):
     return pooled.select("label", F.posexplode("vec").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
-@query("hashed_vectors")
+@query("hashed_vectors", f"WITH {_vectors('d', 'documents', 'doc_id')} SELECT id AS doc_id, count(*) AS slots, round(sqrt(sum(value * value)), 4) AS norm FROM dv GROUP BY id")
 def hashed_vectors(spark, sf):
     """Hashed vectors of all documents, as norms and how many slots they fill."""
     return dense.hashed_vectors_sparse(table(spark, sf, "documents")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("slots"), F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 4).alias("norm"))
 
 
-@query("label_references", None)
+_ASKING = "concat(text, CASE conv_id % 3 WHEN 0 THEN concat(' See Fig. ', CAST(turn AS STRING), ' and figure ', CAST(turn AS STRING), ', not TABLE ', CAST(conv_id AS STRING), '.1.') WHEN 1 THEN concat(' Is Eq ', CAST(conv_id AS STRING), ' right?') ELSE ' No configuration 7.' END)"
+
+
+@query(
+    "label_references",
+    """SELECT conv_id, turn, concat('figure ', turn) AS label, 0 AS at FROM conversations WHERE conv_id % 3 = 0 UNION ALL SELECT conv_id, turn, concat('table ', conv_id, '.1'), 1 FROM conversations WHERE conv_id % 3 = 0 UNION ALL
+SELECT conv_id, turn, concat('equation ', conv_id), 0 FROM conversations WHERE conv_id % 3 = 1""",
+)
 def label_refs(spark, sf):
-    """The figures and tables that messages name."""
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.explode(label_references(F.col("text"))).alias("label"))
+    """The figures, tables and equations that messages name, each once, in their order."""
+    asked = table(spark, sf, "conversations").withColumn("text", F.expr(_ASKING))
+    return asked.select("conv_id", "turn", F.posexplode(label_references(F.col("text"))).alias("at", "label"))
 
 
 @query("chunk_documents")
 def chunk_documents(spark, sf):
     """All documents in chunks of at most 1800 characters."""
-    return chunking.chunk_texts(table(spark, sf, "documents"))
+    return chunking.chunk_texts(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 _names = "list_distinct(regexp_extract_all({n}, '[a-z0-9]+'))"

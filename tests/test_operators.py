@@ -48,6 +48,100 @@ def test_text_functions_stand_null(spark):
     assert one(spark, T.sentences(x), "It works, e.g. Here. See Fig. 3 for more. Done.") == ["It works, e.g. Here.", "See Fig. 3 for more.", "Done."]
 
 
+@pytest.mark.parametrize(
+    ("function", "text", "want"),
+    [
+        (T.sentences, "It was 95. We then went on, as Dr. Who did (cf. Ref. 2). See vol. 3. No. 4 is 3.5 high. (So.) Done", ["It was 95.", "We then went on, as Dr. Who did (cf. Ref. 2).", "See vol. 3.", "No. 4 is 3.5 high.", "(So.) Done"]),
+        (S.strip_numbering, "Section 3 Methods", "Methods"),
+        (S.strip_numbering, "Appendix B", "Appendix B"),
+        (S.strip_numbering, "A.1. Proofs of it", "Proofs of it"),
+        (S.strip_numbering, "Ill-posed problems", "Ill-posed problems"),
+        (S.section_of, "Chapter 4. Datasets used", "data"),
+        (S.section_of, "Datasheets", "unknown"),
+        (T.sanitise_output, "one\n\n  \u2014 two", "one\n\n  - two"),
+        (T.sanitise_output, "3\u20134 a \u2014 b, , c\u2011d", "3 to 4 a, b, c-d"),
+        (T.clean_pdf_text, "self-\n  Attention BERT-\nBase \u22121 \u02c6x\u202f5\nnext.\nLine", "selfAttention BERTBase -1 ^x 5 next.\nLine"),
+    ],
+)
+def test_functions_on_awkward_texts(spark, function, text, want):
+    from pyspark.sql import functions as F
+
+    assert one(spark, function(F.col("x")), text) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "ident"),
+    [
+        ("arXiv:hep-th/9901001", "arxiv", "hep-th/9901001"),
+        ("math.GT/0309136v2", "arxiv", "math.GT/0309136v2"),
+        ("1706.03762v5", "arxiv", "1706.03762v5"),
+        ("https://arxiv.org/html/2407.01449v2", "arxiv", "2407.01449"),
+        ("http://www.arxiv.org/pdf/cs/0112017.pdf", "arxiv", "cs/0112017"),
+        ("10.1109/cvpr.2016.90", "doi", "10.1109/cvpr.2016.90"),
+        ("ftp://x", "unknown", "ftp://x"),
+    ],
+)
+def test_identify(spark, text, kind, ident):
+    from pyspark.sql import functions as F
+
+    found = one(spark, T.identify(F.col("x")), text)
+    assert (found["kind"], found["id"]) == (kind, ident)
+
+
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [
+        ('{"bullets": ["a"], "n": 1}', ["a"]),
+        ('{"whatever": ["a", "b"], "n": 1}', ["a", "b"]),
+        ('{"rows": ["r"], "items": ["i"]}', ["i"]),
+        ('{"x": ["a"], "y": ["b"]}', []),
+        ('{"x": {}, "y": {}}', []),
+        ('["z"]', ["z"]),
+        ('{"a":1}', ['{"a":1}']),
+        ("3", []),
+    ],
+)
+def test_unwrap_list(spark, answer, want):
+    from pyspark.sql import functions as F
+
+    assert one(spark, T.unwrap_list(F.parse_json(F.col("x"))), answer) == want
+
+
+def test_slugs_are_unique(spark):
+    names = ["a", "a", "a 2", "a 2", "a", "A-3", "b", "a", "", None, "a-2-2"]
+    for per_bucket in (3, 100):
+        rows = library.unique_slugs(spark.createDataFrame(list(enumerate(names)), "k int, name string"), "name", "k", per_bucket).orderBy("k").collect()
+        assert [r["slug"] for r in rows] == ["a", "a-4", "a-2", "a-2-3", "a-5", "a-3", "b", "a-6", "item", "item-2", "a-2-2"]
+
+
+def test_query_shapes(spark):
+    from pyspark.sql import functions as F
+
+    w = lambda text: tuple(round(float(v), 3) for v in one(spark, fusion.leg_weights(F.col("x")), text))
+    assert w("how many layers") == (1.5, 0.85, 0.7) and w("what F1 was reached") == (1.5, 0.85, 0.7)
+    assert w("Why does it work") == (0.75, 1.4, 0.7) and w("summarise the limitations in 3 lines") == (1.125, 1.4, 0.7)
+    assert w("the architecture, as shown in Fig. 2") == (1.5, 0.85, 1.5) and w("configure it") == (1.0, 1.0, 0.7) and w(None) == (1.0, 1.0, 0.7)
+
+
+def test_references_are_parsed(spark):
+    from pyspark.sql import functions as F
+
+    r = one(spark, S.parse_reference(F.col("x")), "[12] A. Vaswani, N. Shazeer, and I. Polosukhin. Attention is all you need. Advances in Systems, 30, 2017. https://x.org/a).")
+    assert (r["number"], r["title"], r["year"], r["url"], len(r["authors"])) == (12, "Attention is all you need", 2017, "https://x.org/a", 3)
+    assert one(spark, S.split_entries(F.col("x")), "1. First entry here. 2. Second entry there. 3. not one") == ["1. First entry here. ", "2. Second entry there. 3. not one"]
+    assert one(spark, S.numeric_markers(F.col("x")), "as [1, 3-5] and [2–3], not [x] nor [4a]") == [1, 3, 4, 5, 2]
+    assert [tuple(m) for m in one(spark, S.author_year_markers(F.col("x")), "(Müller et al., 2019) (O'Neil and Ng 2020a) (no, 2020)")] == [("müller", 2019), ("o'neil", 2020)]
+    assert [one(spark, S.may_be_title(F.col("x")), t) for t in ("arXiv:2501.1 [cs]", "A Preprint on X", "2024 12th Meeting", "Licensed under X", "DOI 10.1", "Proceedings")] == [False, True, False, False, False, True]
+
+
+def test_greedy_captions_compete(spark):
+    boxes = [(0, "figure", "", 100, 200), (1, "caption", "Figure 1: a", 210, 220), (2, "caption", "Figure 2: b", 225, 235), (3, "figure", "", 250, 300), (4, "caption", "Figure 3: c", 600, 610)]
+    rows = [(1, 1, o, k, t, (0.0, float(a), 50.0, float(b))) for o, k, t, a, b in boxes]
+    df = spark.createDataFrame(rows, "paper_id long, page int, ord int, kind string, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+    assert sorted((r["caption_ord"], r["target_ord"]) for r in layout.greedy_captions(df).collect()) == [(1, 0), (2, 3)]
+    assert sorted((r["caption_ord"], r["target_ord"]) for r in layout.nearest_captions(df).collect()) == [(1, 0), (2, 0)]
+
+
 def test_labels(spark):
     from pyspark.sql import functions as F
 
@@ -79,7 +173,9 @@ def test_search_with_zero_vectors_and_blocks(spark):
     small = {tuple(r) for r in dense.search(v, v, 5, block=8).collect()}
     assert small == {tuple(r) for r in dense.search(v, v, 5).collect()}
     assert 0 not in {r[0] for r in small}
-    assert {tuple(r) for r in dense.similar_pairs(v, 0.99, block=8).collect()} == {tuple(r) for r in dense.similar_pairs(v, 0.99).collect()}
+    pairs = {tuple(r) for r in dense.similar_pairs(v, 0.99).collect()}
+    assert pairs and {tuple(r) for r in dense.similar_pairs(v, 0.99, block=8).collect()} == pairs
+    assert {tuple(r) for r in dense.similar_pairs(v.selectExpr("*", "id % 2 as g"), 0.99, block=4, group="g").collect()} == {p for p in pairs if p[0] % 2 == p[1] % 2}
 
 
 def test_embedders(spark):
@@ -107,6 +203,7 @@ def test_find_everywhere_without_whole_tokens(spark):
     rows = spark.createDataFrame([(1, "An Apple a day"), (2, "pineapples"), (3, None)], "doc_id long, search_text string")
     needles = spark.createDataFrame([(1, "apple"), (2, "n apple a"), (3, "%"), (4, "")], "query_id long, needle string")
     assert sorted((r["query_id"], r["doc_id"]) for r in retrieval.find_everywhere(rows, needles).collect()) == [(1, 1), (1, 2), (2, 1)]
+    assert sorted((r["query_id"], r["doc_id"]) for r in retrieval.find_everywhere(rows, needles, block=1).collect()) == [(1, 1), (1, 2), (2, 1)]
     from pyspark.sql import functions as F
 
     assert one(spark, retrieval.where_matched(F.lit("AP"), F.col("x"), label=F.lit("apt")), "map") == ["body", "label"]

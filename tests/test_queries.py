@@ -36,12 +36,12 @@ def test_query_is_its_sql(spark, con, name):
     assert sorted(columns) == sorted(df.columns)
     want = sorted(tuple(map(plain, r)) for r in found.fetchall())
     got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    assert got == want
+    assert got == want and want
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_flagship_finds_planted_passages(spark):
