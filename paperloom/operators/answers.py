@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.scholarly import validate_citations
-from paperloom.functions.text import sentences, truncate
+from paperloom.functions.text import coerce_json, estimate_tokens, sentences, truncate
+from paperloom.runtime import Scratch
 
 # Sizes of excerpts and of the memory, weights of queries, and the lenses with how many excerpts they take.
 EXCERPT, TURNS, TURN, IMAGES = 1600, 6, 700, 4
@@ -122,3 +123,66 @@ def batch_progress(wanted: DataFrame, done: DataFrame) -> DataFrame:
     """(paper_id, lens, status): the events of a batch as rows: cached, result, failed or waiting. ``done`` has (paper_id, lens, error)."""
     rows = wanted.join(done, ["paper_id", "lens"], "left")
     return rows.select("paper_id", "lens", F.when(F.col("error").isNotNull() & (F.col("error") != ""), "failed").when(F.col("error").isNotNull(), "result").otherwise("waiting").alias("status"))
+
+
+class Available(Protocol):
+    """A generator among others: its name, and whether it can be used here."""
+
+    name: str
+    ready: bool
+
+    def __call__(self, rows: DataFrame) -> DataFrame: ...
+
+
+def choose(generators: list, wanted: str | None = None):
+    """The generator of a name, which must be there and ready; without a name the first that is ready, or None."""
+    ready = {g.name: g for g in generators if getattr(g, "ready", True)}
+    if wanted is None:
+        return next(iter(ready.values()), None)
+    if wanted not in ready:
+        raise ValueError(f"{wanted} isn't there; there are {', '.join(sorted(ready)) or 'none'}")
+    return ready[wanted]
+
+
+# How often JSON is asked for.
+ATTEMPTS = 3
+AGAIN = "\n\nYour last answer was no JSON. Give the JSON value alone, without any other words."
+
+
+def ask_json(rows: DataFrame, generator: Callable, attempts: int = ATTEMPTS) -> DataFrame:
+    """(query_id, json, attempt): answers to rows (query_id, prompt, context) that hold JSON, as a variant; rows whose answer holds none are asked again, with a word on that, ``attempts`` times at most.
+
+    What failed throughout has a null value and attempt. Each round's answers are a table in the shared folder, so a generator is asked once for each row and round.
+    """
+    found, left = None, rows
+    for k in range(attempts):
+        asked = left if k == 0 else left.withColumn("prompt", F.concat("prompt", F.lit(AGAIN)))
+        got = Scratch(generator(asked).select("query_id", F.to_json(coerce_json(F.col("answer"))).alias("_json")), "json-answers").df
+        good = got.where("_json is not null").select("query_id", F.parse_json("_json").alias("json"), F.lit(k + 1).alias("attempt"))
+        found = good if found is None else found.unionByName(good)
+        left = left.join(got.where("_json is not null").select("query_id"), "query_id", "left_anti")
+    return rows.select("query_id").join(found, "query_id", "left")
+
+
+def used_tokens(prompts: DataFrame, answered: DataFrame) -> DataFrame:
+    """(query_id, input_tokens, output_tokens): a quarter of the characters of prompts (query_id, prompt) and answers (query_id, answer), at least one each, where a service tells no figures."""
+    rows = prompts.select("query_id", estimate_tokens(F.col("prompt")).alias("input_tokens"))
+    return rows.join(answered.select("query_id", estimate_tokens(F.col("answer")).alias("output_tokens")), "query_id")
+
+
+def answer_events(answered: DataFrame, citations: DataFrame, piece: int = 40) -> DataFrame:
+    """(query_id, pos, event, body): the events of streamed answers in order: retrieving, the evidence (``citations``: query_id, citations), and for those with evidence writing, the answer's pieces (``answered``: query_id, answer) and the end.
+
+    An answer comes in pieces of about ``piece`` characters, cut behind a blank; an empty one has no pieces.
+    """
+    rows = citations.select("query_id", F.to_json("citations").alias("_evidence")).join(answered.select("query_id", "answer"), "query_id", "left")
+    event = lambda name, body: F.struct(F.lit(name).alias("event"), body.alias("body"))
+    pieces = F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit(rf"(?s).{{1,{piece}}}\S*\s?"), F.lit(0))
+    told = F.concat(F.array(event("status", F.lit("retrieving")), event("evidence", F.coalesce("_evidence", F.lit("[]")))), F.when(F.col("answer").isNull(), F.array()).otherwise(F.concat(F.array(event("status", F.lit("writing"))), F.transform(pieces, lambda p: event("delta", p)))), F.array(event("done", F.coalesce("answer", F.lit("")))))
+    return rows.select("query_id", F.posexplode(told).alias("pos", "_e")).select("query_id", F.col("pos").cast("long").alias("pos"), "_e.event", "_e.body")
+
+
+def assembled(events: DataFrame) -> DataFrame:
+    """(query_id, answer): the pieces of streamed answers put together in order; an answer without pieces is empty."""
+    pieces = F.filter(F.array_sort(F.collect_list(F.struct("pos", "event", "body"))), lambda e: e["event"] == "delta")
+    return events.groupBy("query_id").agg(F.array_join(F.transform(pieces, lambda e: e["body"]), "").alias("answer"))

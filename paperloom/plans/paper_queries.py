@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import scholarly as S
 from paperloom.functions import text as T
-from paperloom.operators import answers, chunking, exports, fusion, layout, quality, refs, structure
+from paperloom.functions import services as V
+from paperloom.operators import answers, chunking, exports, fusion, ingest, layout, quality, refs, structure
 from paperloom.plans.registry import query
 from paperloom.runtime import table
 
@@ -543,3 +544,110 @@ def lens_queries(spark, sf):
     rows = made(spark, sf, _ASKED)
     lenses = rows.select(F.col("topic_id").alias("id"), "comparison", F.array(F.expr("left(text, 20)"), F.expr("right(text, 20)")).alias("queries"))
     return answers.lens_queries(lenses, rows.select("topic_id", "text"))
+
+
+# services
+
+_ERRORS = """SELECT c_custkey AS id, c_custkey % 9 AS k, c_custkey % 4 AS attempt, c_name, CASE c_custkey % 9 WHEN 0 THEN 'Error 429: Rate limit, try again in 1.5s' WHEN 1 THEN 'try again in 250 ms, OVERLOADED' WHEN 2 THEN 'HTTP 402 billing' WHEN 3 THEN 'Model Agreement needed' WHEN 4 THEN 'the context has too great a length'
+WHEN 5 THEN 'Unauthorized (401)' WHEN 6 THEN 'model does not exist' WHEN 7 THEN 'Connection refused; retry after 90 s' ELSE 'something else' END AS message FROM {customer}"""
+
+
+@query(
+    "service_errors",
+    twin(_ERRORS, """SELECT id, CASE k WHEN 0 THEN 'quota' WHEN 2 THEN 'credit' WHEN 3 THEN 'access' WHEN 4 THEN 'context' WHEN 5 THEN 'key' WHEN 6 THEN 'model' WHEN 7 THEN 'connection' ELSE '' END AS kind, k < 2 AS transient,
+CAST(CASE k WHEN 0 THEN 2.5 WHEN 1 THEN 1.25 WHEN 7 THEN 45 ELSE least(2.5 * (attempt + 1), 20) END AS DOUBLE) AS delay FROM input"""),
+)
+def service_errors(spark, sf):
+    """What services' messages tell of, and how long to wait."""
+    m = F.col("message")
+    return made(spark, sf, _ERRORS).select("id", V.error_kind(m).alias("kind"), V.is_transient(m).alias("transient"), V.retry_delay(m, F.col("attempt")).cast("double").alias("delay"))
+
+
+_CREDENTIALS = "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN concat('  key-', c_name, ' ') WHEN 1 THEN 'two words' WHEN 2 THEN 'ключ' ELSE '' END AS k, CASE c_custkey % 3 WHEN 0 THEN concat('https://', c_name, '.org//') WHEN 1 THEN 'ftp://x' ELSE NULL END AS u, CASE c_custkey % 2 WHEN 0 THEN concat('acc', CAST(c_custkey + 100000 AS STRING)) ELSE 'a/b12345678' END AS a FROM {customer}"
+
+
+@query(
+    "clean_credentials",
+    twin(_CREDENTIALS, """SELECT id, CASE id % 4 WHEN 0 THEN trim(k) ELSE '' END AS clean, CASE id % 3 WHEN 0 THEN rtrim(u, '/') ELSE '' END AS url, CASE id % 2 WHEN 0 THEN a ELSE '' END AS account, CASE WHEN k = '' THEN 'none' ELSE left(sha256(k), 16) END AS tag FROM input"""),
+)
+def clean_credentials(spark, sf):
+    """Credentials that may be used, and what stands for them."""
+    return made(spark, sf, _CREDENTIALS).select("id", V.clean_key(F.col("k")).alias("clean"), V.clean_base_url(F.col("u")).alias("url"), V.clean_account(F.col("a")).alias("account"), V.credential_tag(F.col("k")).alias("tag"))
+
+
+class _Stubborn:
+    """A generator whose every third row answers with JSON at once, every third when it is asked again, and the others never."""
+
+    name = "stubborn"
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        good = F.concat(F.lit('So: {"id": '), F.col("query_id").cast("string"), F.lit("} it is."))
+        again = F.col("prompt").contains("no JSON")
+        return rows.select("query_id", F.when((F.col("query_id") % 3 == 0) | (F.col("query_id") % 3 == 1) & again, good).otherwise("no idea").alias("answer"))
+
+
+@query("json_answers", "SELECT conv_id * 100 + turn AS query_id, CASE WHEN (conv_id * 100 + turn) % 3 < 2 THEN concat('{\"id\":', conv_id * 100 + turn, '}') END AS json, CASE (conv_id * 100 + turn) % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS attempt FROM conversations")
+def json_answers(spark, sf):
+    """Answers as JSON, asked for again where there was none."""
+    rows = table(spark, sf, "conversations").select(F.expr("conv_id * 100 + turn").alias("query_id"), F.col("text").alias("prompt"), F.lit("").alias("context"))
+    return answers.ask_json(rows, answers.choose([_Stubborn()], "stubborn")).select("query_id", F.to_json("json").alias("json"), "attempt")
+
+
+@query(
+    "streamed_answers",
+    """WITH e AS (SELECT conv_id * 100 + turn AS query_id, turn, text, CASE WHEN turn % 3 < 2 THEN text END AS answer FROM conversations)
+SELECT query_id, coalesce(answer, '') AS answer, greatest(1, length(text) // 4) AS input_tokens, CASE WHEN answer IS NOT NULL THEN greatest(1, length(answer) // 4) END AS output_tokens, answer IS NOT NULL AND answer <> '' AS written, coalesce(answer, '') AS done FROM e""",
+)
+def streamed_answers(spark, sf):
+    """Answers as events, put together again, with the tokens that they took."""
+    rows = table(spark, sf, "conversations").select(F.expr("conv_id * 100 + turn").alias("query_id"), "turn", "text")
+    answered = rows.where("turn % 3 < 2").select("query_id", F.col("text").alias("answer"))
+    events = answers.answer_events(answered, rows.select("query_id", F.array(F.struct(F.lit(1).alias("n"))).alias("citations")))
+    ends = events.groupBy("query_id").agg(F.bool_or((F.col("event") == "delta") & (F.col("body") != "")).alias("written"), F.max_by("body", "pos").alias("done"))
+    used = answers.used_tokens(rows.select("query_id", F.col("text").alias("prompt")), rows.select("query_id").join(answered, "query_id", "left"))
+    used = used.join(answered.select("query_id", F.lit(True).alias("there")), "query_id", "left").withColumn("output_tokens", F.when(F.col("there"), F.col("output_tokens")))
+    return answers.assembled(events).join(used, "query_id").join(ends, "query_id").select("query_id", "answer", "input_tokens", "output_tokens", "written", "done")
+
+
+# the whole chain
+
+_LINES = [
+    (0, 1, 18.0, True, 60, "'A Study of Things'"), (1, 1, 12.5, True, 120, "'1 Introduction'"), (2, 1, 10.0, False, 140, "concat('This paragraph tells of ', p_name, ' and goes on as [1] does,')"),
+    (3, 1, 10.0, False, 152, "'over a second line that is about as long as the first one is [2].'"), (4, 1, 9.0, False, 300, "'Figure 1: A picture'"), (5, 2, 12.5, True, 60, "'2 Results'"), (6, 2, 10.0, False, 80, "concat('The results of ', p_name, ' are told here at some length, since a chunk needs eighty characters.')"),
+    (7, 2, 12.5, True, 400, "'References'"), (8, 2, 10.0, False, 420, "concat('[1] Anna Kiros and Bo Berg. Study of ', p_name, '. In Proceedings, 1999.')"), (9, 2, 10.0, False, 432, "concat('[2] Eve Falk. Notes on ', p_name, '. In Proceedings, 2001.')"),
+]
+_PAGES_OF = " UNION ALL ".join(f"SELECT p_partkey AS paper_id, {p} AS page, {k} AS seq, {size} AS size, {str(bold).lower()} AS bold, {y} AS y, {text} AS text FROM {{part}} WHERE p_partkey % 10 <> 9" for k, p, size, bold, y, text in _LINES)
+_ELEMENT_ROWS = [(0, 1, "title", "unknown"), (1, 1, "heading", "introduction"), (2, 1, "paragraph", "introduction"), (3, 1, "figure", "introduction"), (4, 1, "caption", "introduction"), (5, 2, "heading", "results"), (6, 2, "paragraph", "results"), (7, 2, "heading", "references"), (8, 2, "reference", "references"), (9, 2, "reference", "references")]
+
+
+def _ingested(spark, sf) -> dict[str, DataFrame]:
+    rows = made(spark, sf, _PAGES_OF)
+    box = lambda y, high: F.struct(F.lit(50.0).alias("x0"), y.cast("double").alias("y0"), F.lit(400.0).alias("x1"), (y + high).cast("double").alias("y1"))
+    spans = rows.select("paper_id", "page", "seq", "text", box(F.col("y"), 10).alias("bbox"), F.col("size").cast("double").alias("size"), F.create_map(F.lit("Roman"), F.length("text")).alias("font_chars"), "bold", F.lit(False).alias("in_margin"))
+    papers = table(spark, sf, "part").select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title"))
+    visuals = rows.where("seq = 0").select("paper_id", F.lit(1).alias("page"), F.lit("figure").alias("kind"), F.lit("").alias("text"), F.lit("").alias("label"), box(F.lit(200), 80).alias("bbox"))
+    pages = rows.select("paper_id", "page").distinct().withColumn("needs_ocr", F.lit(False))
+    return ingest.ingested(papers, spans, visuals, pages)
+
+
+@query("ingested_elements", f"SELECT p_partkey AS paper_id, ord, page, kind, section, CASE kind WHEN 'reference' THEN 1983 + 2 * ord END AS year FROM part CROSS JOIN {listed(_ELEMENT_ROWS, 'e(ord, page, kind, section)')} WHERE p_partkey % 10 <> 9")
+def ingested_elements(spark, sf):
+    """Elements of papers read from their spans, in order, with sections and split references."""
+    return _ingested(spark, sf)["elements"].select("paper_id", "ord", "page", "kind", "section", "ref.year")
+
+
+@query("ingested_edges", "SELECT p_partkey AS paper_id, 2 AS src_ord, dst_ord, dst_ord - 8 AS pos FROM part CROSS JOIN (VALUES (8), (9)) AS d(dst_ord) WHERE p_partkey % 10 <> 9")
+def ingested_edges(spark, sf):
+    """Which paragraph cites which entry."""
+    return _ingested(spark, sf)["edges"]
+
+
+@query(
+    "ingested_papers",
+    """SELECT p_partkey AS paper_id, CASE WHEN p_partkey % 10 <> 9 THEN 'ready' ELSE 'failed' END AS status, CASE WHEN p_partkey % 10 <> 9 THEN 10 ELSE 0 END AS n_elements, CASE WHEN p_partkey % 10 <> 9 THEN 4 ELSE 0 END AS n_chunks, CASE WHEN p_partkey % 10 <> 9 THEN 'uncaptioned_figures' END AS concerns FROM part""",
+)
+def ingested_papers(spark, sf):
+    """Papers with their state: those without spans have failed, and the others go on."""
+    got = _ingested(spark, sf)
+    concerns = got["quality"].select("paper_id", F.array_join(F.transform("concerns", lambda c: c["id"]), ",").alias("concerns"))
+    return got["papers"].join(concerns, "paper_id", "left").select("paper_id", "status", "n_elements", "n_chunks", "concerns")
