@@ -60,8 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each but the last is written and read again, and goes when the next one is there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = Scratch(stage(spark, docs, sf_dir), f"stage-{name}").df
+        kept = Scratch(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            before.drop()
+        docs, before = kept.df, kept
     return STAGES[-1][1](spark, docs, sf_dir)
