@@ -68,7 +68,10 @@ def _sweep() -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Give Python workers at most ``rows`` rows at a time, so that long texts don't fill their memory."""
+    """Give Python workers at most ``rows`` rows at a time, so that long texts don't fill their memory.
+
+    A lazy result is planned after its operator has returned, so the bound holds from here on in this session; it is never raised.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
