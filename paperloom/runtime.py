@@ -23,7 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a scan dealt over all cores if it has fewer partitions than there are cores, as a small table in one file has; else as they are, so a large table isn't shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if _partitions(df) < cores else df
+
+
+def dealt_by(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a key to as many partitions as their scan has, and no fewer than cores: what is made of a row and grouped by its key and more isn't shuffled again."""
+    return df.repartition(max(_partitions(df), df.sparkSession.sparkContext.defaultParallelism), key)
+
+
+def _partitions(df: DataFrame) -> int:
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
 
 
 def shared_dir(spark: SparkSession) -> str:
