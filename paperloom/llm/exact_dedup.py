@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.runtime import Scratch, table
+from paperloom.runtime import Scratch, spread, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -70,7 +70,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def op3_exact_dedup(spark, sf_dir):
     """``exact_groups`` over all ``documents``."""
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 ORACLE_SQL = r"""

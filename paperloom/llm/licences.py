@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from paperloom.runtime import bounded_batches, table
+from paperloom.runtime import bounded_batches, spread, table
 
 # The base phrases and their labels.
 BASE = {
@@ -202,4 +202,4 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op8_licence_scan(spark, sf_dir):
     """``licence_scan`` over all ``documents``."""
-    return licence_scan(table(spark, sf_dir, "documents"))
+    return licence_scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
