@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 
@@ -13,29 +15,6 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def prefix_ranks(text: np.ndarray, span: int) -> np.ndarray:
-    """The rank of each suffix of a byte array by its first ``span`` bytes (fewer at the end), by doubling."""
-    n = len(text)
-    if span >= 8:  # eight bytes at a time to begin with
-        padded, first = np.r_[text, np.zeros(8, np.uint8)], np.zeros(n, np.uint64)
-        for k in range(8):
-            first = (first << np.uint64(8)) | padded[k : k + n]
-        ranks, done = _ranks(first), 8
-    else:
-        ranks, done = text.astype(np.int64) + 1, 1
-
-    def paired(ranks: np.ndarray, shift: int) -> np.ndarray:
-        behind = np.zeros(n, np.int64)
-        if shift < n:
-            behind[: n - shift] = ranks[shift:] + 1
-        return _ranks(ranks * (int(behind.max(initial=0)) + 1) + behind)
-
-    while 2 * done <= span:
-        ranks = paired(ranks, done)
-        done *= 2
-    return paired(ranks, span - done) if done < span else ranks
-
-
 def suffix_array(text: bytes) -> np.ndarray:
     """Starts of the suffixes in their order."""
     n = len(text)
@@ -49,15 +28,38 @@ def suffix_array(text: bytes) -> np.ndarray:
     return np.argsort(ranks, kind="stable")
 
 
-def longest_previous(text: bytes) -> np.ndarray:
-    """For each place the length of the longest string that starts there and also at an earlier place.
+def _previous(places: Sequence[int], between: Sequence[int]) -> list[int]:
+    """For each suffix in suffix order the length that it shares with the nearest one before it whose place is smaller; 0 if there is none."""
+    out, stack = [], []
+    for k, place in enumerate(places):
+        low = between[k - 1] if k else 0
+        while stack and stack[-1][0] > place:
+            low = min(low, stack.pop()[1])
+        out.append(low if stack else 0)
+        stack.append((place, low))
+    return out
+
+
+def previous_factors(places: Sequence[int], between: Sequence[int]) -> list[int]:
+    """Longest previous factors of suffixes given in suffix order.
 
-    In suffix order, the nearest earlier places on both sides (previous and next smaller values of the suffix array) hold the longest match.
+    ``places`` are their places in the text and ``between`` the lengths that neighbours in the order share. The longest match with an earlier place
+    is with the nearest smaller place on one of both sides: with the previous or the next smaller one.
     """
-    order = suffix_array(text)
+    before = _previous(places, between)
+    after = _previous(places[::-1], between[::-1])[::-1]
+    return list(map(max, before, after))
+
+
+def longest_factors(between: Sequence[int]) -> list[int]:
+    """For suffixes in suffix order the length that each shares with any other: with its neighbour on one of both sides."""
+    return list(map(max, [0, *between], [*between, 0]))
+
+
+def longest_previous(text: bytes) -> np.ndarray:
+    """For each place of a text the length of the longest string that starts there and also at an earlier place."""
+    order = suffix_array(text).tolist()
     n = len(order)
-    out = np.zeros(n, np.int64)
-    stack: list[int] = []
 
     def common(a: int, b: int) -> int:
         k = 0
@@ -65,25 +67,6 @@ def longest_previous(text: bytes) -> np.ndarray:
             k += 1
         return k
 
-    for place in [*order.tolist(), -1]:
-        while stack and stack[-1] > place:
-            top = stack.pop()
-            before = stack[-1] if stack else -1  # the previous smaller place; ``place`` is the next smaller one
-            out[top] = max(common(top, x) if x >= 0 else 0 for x in (before, place))
-        stack.append(place)
+    out = np.zeros(n, np.int64)
+    out[order] = previous_factors(order, [common(a, b) for a, b in zip(order, order[1:])])
     return out
-
-
-def repeats(text: np.ndarray, span: int, starts: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the rising ``starts``, whether its ``span`` bytes also stand at an earlier one of the same ``apart`` number, and at a later one.
-
-    Suffixes are ordered by their first ``span`` bytes, which is all that matters here: the previous factor at a start is ``span`` long or longer exactly if
-    its run of equals in that order holds an earlier start.
-    """
-    ranks = prefix_ranks(text, span)[starts]
-    order = np.lexsort((starts, ranks, apart))
-    same = (ranks[order][1:] == ranks[order][:-1]) & (apart[order][1:] == apart[order][:-1])
-    earlier, later = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    earlier[order[1:]] = same
-    later[order[:-1]] = same
-    return earlier, later
