@@ -1,10 +1,13 @@
 """Properties and awkward rows of the library's operators."""
 
+import re
+
 import pytest
 
 from paperloom.functions import scholarly as S
 from paperloom.functions import text as T
 from paperloom.operators import chunking, dense, exports, fusion, layout, lexical, library, retrieval, storage, structure
+from paperloom.runtime import table
 from paperloom.schemas import TABLES, schema
 from paperloom.sources import readers
 from paperloom.streaming import jobs
@@ -216,6 +219,34 @@ def test_chunks_hold_to_the_budget(spark):
     assert {f"number {k} " for k in range(300)} <= {f"number {w} " for r in rows for w in __import__("re").findall(r"number (\d+) ", r["text"])}
 
 
+def brute_chunks(text, budget, overlap, least):
+    """The same by a loop over sentences."""
+    size = lambda xs: sum(len(x) + 1 for x in xs)
+    parts = [p for p in re.split(T.SENTENCE_PATTERN, text.strip(" ")) if p]
+    parts = [p[k : k + budget] for p in parts for k in range(0, len(p), budget)]
+    out, now = [], []
+    for p in parts:
+        if now and size(now) + len(p) > budget:
+            out.append(" ".join(now))
+            kept = []
+            for x in reversed(now):
+                if size(kept) + len(x) > overlap:
+                    break
+                kept.insert(0, x)
+            now = kept if size(kept) + len(p) <= budget else []
+        now.append(p)
+    out += [" ".join(now)] if now else []
+    return [p for p in out if len(out) == 1 or len(p) >= least]
+
+
+def test_chunks_of_all_documents_are_a_loops(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    for budget, overlap in ((1800, 320), (300, 120)):
+        want = [(r["doc_id"], k, p) for r in docs.collect() if len(r["text"].strip(" ")) >= 80 for k, p in enumerate(brute_chunks(r["text"], budget, overlap, 80))]
+        got = chunking.chunk_texts(docs, budget=budget, overlap=overlap).collect()
+        assert len(want) > 300 and sorted((r["doc_id"], r["ord"], r["text"]) for r in got) == sorted(want)
+
+
 def test_library_writes(spark, tmp_path):
     papers = spark.createDataFrame([(1, "unread", ""), (2, "read", "v")], "paper_id long, read_state string, verdict string")
     assert library.set_triage(papers, 1, "read", "x" * 900).where("paper_id = 1").first()["verdict"] == "x" * 600
