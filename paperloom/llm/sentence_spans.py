@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.runtime import bounded_batches, table
+from paperloom.runtime import bounded_batches, spread, table
 
 #: Ends of sentences: white space behind a full stop, question or exclamation mark, and line ends.
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -126,23 +126,30 @@ def _spans_of(docs: DataFrame, run: int, short: int, long: int) -> DataFrame:
 
 
 def _later_ones(rows: DataFrame) -> DataFrame:
-    """Of span rows dealt by hash, those that aren't their hash's first: _id, _tag, _at, _size."""
+    """Of span rows dealt by hash and sorted by hash and place, those that aren't their hash's first: _id, _tag, _at, _size. A task holds a batch and the first row of the hash that it is at."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        first = None  # hi, lo, id, tag, at of the first row of the last hash
         for b in batches:
             later = b.column(6)
             passed = b.filter(later)
             if len(passed):
                 yield passed.select([2, 3, 4, 5])
-            held.append(b.filter(pa.compute.invert(later)))
-        if held:
-            t = pa.Table.from_batches(held)
-            cols = [t.column(k).to_numpy() for k in range(6)]
-            keep = _split_first(cols)
-            for at in range(0, int(keep.sum()), 100_000):
-                rows = np.flatnonzero(keep)[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[k][rows]) for k in (2, 3, 4, 5)], names=["_id", "_tag", "_at", "_size"])
+            b = b.filter(pa.compute.invert(later))
+            if not len(b):
+                continue
+            cols = [c.to_numpy() for c in b.columns[:5]]
+            if first is not None:
+                cols = [np.r_[f, c] for f, c in zip(first, cols, strict=True)]
+            hi, lo = cols[:2]
+            new = np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(hi)), 0))
+            gone = np.logical_or.reduce([c != c[lead] for c in cols[2:5]])
+            if first is not None:
+                gone = gone[1:]
+            first = [c[lead[-1] : lead[-1] + 1] for c in cols]
+            if gone.any():
+                yield b.filter(pa.array(gone)).select([2, 3, 4, 5])
 
     return rows.mapInArrow(mapped, "_id long, _tag int, _at int, _size int")
 
@@ -163,7 +170,7 @@ def repeated_spans(docs: DataFrame, run: int = RUN, short: int = SHORT, long: in
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     found = _spans_of(rows.where("_id is not null"), run, short, long)
-    dealt = found.repartition(F.when(F.col("_later"), F.xxhash64("_id")).otherwise(F.col("_hi")))
+    dealt = found.repartition(F.when(F.col("_later"), F.xxhash64("_id")).otherwise(F.col("_hi"))).sortWithinPartitions("_hi", "_lo", "_id", "_tag", "_at")
     cuts = _later_ones(dealt).groupBy("_id").agg(F.collect_set(F.struct("_tag", "_at", "_size")).alias("_cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +203,7 @@ def without(text: str, marks: list[tuple[int, int]], flags: bytearray) -> str:
 
 def op10_sentence_spans(spark, sf_dir):
     """``repeated_spans`` over all ``documents``, kept texts as digests."""
-    found = repeated_spans(table(spark, sf_dir, "documents"))
+    found = repeated_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", "n_sentences", "n_removed", F.char_length("kept_text").cast("long").alias("kept_chars"), F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
