@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.runtime import bounded_batches, scratch_path, table
+from paperloom.runtime import Scratch, bounded_batches, scratch_path, spread, table
 
 CRLF = b"\r\n"
 LEAST_REVISIT = 100
@@ -23,9 +23,16 @@ _PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _record(headers: list[tuple[bytes, bytes]], block: bytes) -> bytes:
-    """A record without the two line ends behind its block; the writer adds those."""
+    """A record with the two line ends behind its block."""
     lines = [b"WARC/1.1", *(k + b": " + v for k, v in headers), b"Content-Length: %d" % len(block)]
-    return CRLF.join(lines) + CRLF + CRLF + block
+    return CRLF.join(lines) + CRLF + CRLF + block + CRLF + CRLF
+
+
+def _member(record: bytes) -> bytes:
+    """A record as a gzip member of its own, without the last byte: the highest of the record's length, 0 in any below 16 MB, which the writer puts behind each row."""
+    if len(record) >= 1 << 24:
+        raise ValueError("a record of 16 MB or more: segments must be shorter")
+    return gzip.compress(record, 6, mtime=0)[:-1]
 
 
 def _name(page_id: int | None, row: str = "") -> bytes:
@@ -106,7 +113,7 @@ def payload_of(block: bytes) -> tuple[dict, bytes]:
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT, segment: int = SEGMENT) -> None:
-    """Write an archive of gzipped WARC files to ``path``, through Spark's committed writer, with a response or a revisit for each row.
+    """Write an archive of WARC files (.warc.gz, one gzip member for each record) to ``path``, through Spark's committed writer, with a response or a revisit for each row.
 
     Of rows with equal payloads (by SHA-256) of at least ``least`` bytes the one with the smallest id is a response and the others revisit it.
     Null payloads count as empty. Ids are whole numbers and stand for their rows: rows that repeat an id and a payload are both responses. A null id is written as none and revisits
@@ -128,27 +135,33 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             for k, page in enumerate(ids):
                 n += 1
                 for record in records_of(page, urls[k], b.column(2)[k].as_py(), b.column(3)[k].as_py().hex(), firsts[k], f"{task}.{n}", segment):
-                    out.append(record)
-                    size += len(record)
+                    out.append(_member(record))
+                    size += len(out[-1])
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
                         out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = told.mapInArrow(framed, "record binary").select(F.col("record").cast("string"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    _renamed(pages.sparkSession, path)
 
 
-def _parsed(batches: Iterator[pa.RecordBatch], segments: bool) -> Iterator[tuple]:
-    for b in batches:
-        for content in b.column(0):
-            for headers, block in read_records(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
-                if (b"warc-segment-number" in headers) == segments:
-                    yield headers, block
+def _renamed(spark, path: str) -> None:
+    """Give the files of a committed folder the ending .warc.gz: a rename for each, as the commit itself makes."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt") + ".warc.gz"))
 
 
 _WHOLE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
 _WHOLE_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+_PART = "origin string, number int, total long, digest string, block binary"
+_PART_TYPES = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary())
 
 
 def _row(headers: dict, block: bytes) -> tuple:
@@ -162,44 +175,41 @@ def _row(headers: dict, block: bytes) -> tuple:
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """A row for each response and revisit of the archives below ``path``.
+    """A row for each response and revisit of the archives below ``path``, each of which is read and inflated once.
 
     Continuation records are grouped with the first segment by the origin's id, put in order by segment number, and their total length is verified; then chunked transfer framing is decoded.
     Only segmented records are shuffled, each to a group of its own. A record whose segments are missing, repeated or of the wrong total length comes out with
     ``intact`` false and null payload columns, as does nothing else; a response is ``intact`` if its payload has the digest that its header tells. A revisit's bytes and digest are the full payload's, from its headers.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-
-    def whole(batches):
-        rows = []
-        for headers, block in _parsed(batches, False):
-            rows.append(_row(headers, block))
-            if len(rows) == 10_000:
-                yield _batch(rows, _WHOLE_TYPES, _WHOLE)
-                rows = []
-        if rows:
-            yield _batch(rows, _WHOLE_TYPES, _WHOLE)
-
-    parts_schema = "origin string, number int, total long, digest string, block binary"
-    parts_types = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary())
-
-    def parts(batches):
-        rows = []
-        for h, block in _parsed(batches, True):
-            total = h.get(b"warc-segment-total-length")
-            rows.append((h.get(b"warc-segment-origin-id", h[b"warc-record-id"]).decode(), int(h[b"warc-segment-number"]), int(total) if total else None, h.get(b"warc-payload-digest", b"").decode(), block))
-            if len(rows) == 200:
-                yield _batch(rows, parts_types, parts_schema)
-                rows = []
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
+    schema = f"{_WHOLE}, {_PART}"
+    none = (None,) * 5
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for b in batches:
+            for content in b.column(0):
+                for h, block in read_records(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
+                    if b"warc-segment-number" in h:
+                        total = h.get(b"warc-segment-total-length")
+                        origin = h.get(b"warc-segment-origin-id", h[b"warc-record-id"]).decode()
+                        rows.append((*none, None, origin, int(h[b"warc-segment-number"]), int(total) if total else None, h.get(b"warc-payload-digest", b"").decode(), block))
+                        size += len(block)
+                    else:
+                        rows.append((*_row(h, block), *none))
+                    if len(rows) == 10_000 or size > 8 << 20:
+                        yield _batch(rows, (*_WHOLE_TYPES, *_PART_TYPES), schema)
+                        rows, size = [], 0
         if rows:
-            yield _batch(rows, parts_types, parts_schema)
+            yield _batch(rows, (*_WHOLE_TYPES, *_PART_TYPES), schema)
 
     def joined(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["number"])
         return pa.Table.from_batches([_batch([reassembled(rows)], _WHOLE_TYPES, _WHOLE)])
 
-    segmented = files.mapInArrow(parts, parts_schema).groupBy("origin").applyInArrow(joined, _WHOLE)
-    return files.mapInArrow(whole, _WHOLE).unionByName(segmented)
+    found = Scratch(files.mapInArrow(parsed, schema), "warc-records").df
+    segmented = found.where("origin is not null").select(*(x.split()[0] for x in _PART.split(", "))).groupBy("origin").applyInArrow(joined, _WHOLE)
+    return found.where("origin is null").select(*(x.split()[0] for x in _WHOLE.split(", "))).unionByName(segmented)
 
 
 def reassembled(rows: list[dict]) -> tuple:
@@ -218,7 +228,7 @@ def _batch(rows: list[tuple], types: tuple, schema: str) -> pa.RecordBatch:
 def op7_warc(spark, sf_dir):
     """All ``pages`` written to archives in the shared folder and read back."""
     path = scratch_path(spark, "warc")
-    write_warc(table(spark, sf_dir, "pages"), path)
+    write_warc(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
     return read_warc(spark, path)
 
 
