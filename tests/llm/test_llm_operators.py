@@ -74,12 +74,44 @@ def test_word_ids_are_the_tokenizers(plain):
         assert np.frombuffer(encode(text), "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
 
 
-def test_bins_take_a_fixed_number_of_pieces():
-    assert packing.cuts(4096 * 2 + 2048 + 65) == [4096, 4096, 2048, 64, 1]
+def test_bins_take_a_fixed_number_of_documents():
     bins = packing.Bins()
     out = [s for k in range(9) for s in bins.put((k, 0, 1024, b"\0" * 4096))]
-    assert [len(s) for s in out] == [4, 4]
+    assert [[p[:3] for p in s] for s in out] == [[(k, 0, 1024) for k in range(4)], [(k, 0, 1024) for k in range(4, 8)]]
     assert [[p[2] for p in s] for s in bins.finish()] == [[1024]]
+    bins = packing.Bins()
+    assert not [s for k in range(3) for s in bins.put((k, 0, 1100, b"\0" * 4400))]  # three of class 3 wait for 796 ids
+    out = list(bins.put((9, 0, 5000, b"\0" * 20_000)))
+    assert [[p[:3] for p in s] for s in out] == [[(9, 0, 4096)], [(0, 0, 1100), (1, 0, 1100), (2, 0, 1100), (9, 4096, 796)]]
+    assert [[p[:3] for p in s] for s in bins.finish()] == [[(9, 4892, 64)], [(9, 4956, 32)], [(9, 4988, 8)], [(9, 4996, 4)]]
+
+
+def test_bins_on_random_lengths():
+    """Each id once and in order, full bins without padding, and few documents cut, whether long ones come or not."""
+    rng = np.random.default_rng(6)
+    for most in (400, 4096, 9000):
+        sizes = rng.integers(1, most, 3000).tolist()
+        bins, out = packing.Bins(), []
+        for k, n in enumerate(sizes):
+            out += bins.put((k, 0, n, np.arange(n, dtype="<u4").tobytes()))
+        whole = len(out)
+        assert sum(p[2] for x in bins.open.values() for p in x) <= 64 * 4096 and len(bins.waiting) <= packing.WAITING
+        out += bins.finish()
+        at = dict.fromkeys(range(len(sizes)), 0)
+        pieces = sorted((doc, start, size, ids) for s in out for doc, start, size, ids in s)
+        for doc, start, size, ids in pieces:
+            assert start == at[doc] and size > 0 and np.frombuffer(ids, "<u4").tolist() == list(range(start, start + size))
+            at[doc] += size
+        assert list(at.values()) == sizes
+        lengths = [sum(p[2] for p in s) for s in out]
+        assert set(lengths[:whole]) == {4096} and all(n & (n - 1) == 0 for n in lengths)
+        cut = {p[0] for p in pieces if p[2] < sizes[p[0]] <= 4096}
+        assert len(cut) < sum(n <= 4096 for n in sizes) / (2 if most == 4096 else 5)
+
+
+def test_few_documents_are_cut(spark):
+    got = packing.op1_packing(spark, "/root/testdata/sf0.01").where("doc_tokens <= 4096").selectExpr("count(distinct doc_id) as n", "count(distinct if(length < doc_tokens, doc_id, null)) as cut").first()
+    assert got["n"] > 900 and 5 * got["cut"] < got["n"]
 
 
 # 2 mixing
@@ -128,6 +160,52 @@ def test_mix_places_each_row_once(spark, plain):
         assert all(len(v) == 1 for v in by.values())
 
 
+def brute_mix(df, rows, weights, block):
+    """Slots taken one by one: of the sources whose next block is released, the one whose block is due first."""
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in df.selectExpr("doc_id", "text", "xxhash64(doc_id) as h").collect()}
+    source = lambda i: None if (i or 0) % 3 == 0 else f"s{(i or 0) % 3}"  # noqa: E731  as in rows.frame
+    by = defaultdict(list)
+    for i, t in rows:
+        by[source(i)].append((hashes[i, t], i is not None, i or 0))
+    total = sum(weights.values())
+    done, slot, out = dict.fromkeys(by, 0), 0, []
+    while any(done[s] * block < len(v) for s, v in by.items()):
+        ready = []
+        for s in sorted(by, key=str):
+            j = done[s]
+            if j * block < len(by[s]) and j * total / weights[s] < slot + 1 - 1e-9:
+                ready.append((math.ceil((j + 1) * total / weights[s] - 1e-9), str(s), s))
+        if ready:
+            _, _, s = min(ready, key=lambda x: x[:2])
+            members = [x[2] if x[1] else None for x in sorted(by[s])]
+            out += [(i, slot, slot * block + k) for k, i in enumerate(members[done[s] * block : (done[s] + 1) * block])]
+            done[s] += 1
+        slot += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"s1": 3.1417, "s2": 1.3713, None: 2.2391}, {"s1": 1.0137, "s2": 1.1719, None: 7.3331}])
+def test_mix_is_a_plain_schedule(spark, plain, weights):
+    for rows in (texts(), plain):
+        df = frame(spark, rows)
+        got = mixing.mix(df, weights, block=4).collect()
+        same([(r["doc_id"], r["slot"], r["position"]) for r in got], brute_mix(df, rows, weights, 4))
+        # the table's own lag: what a source has had of its share, until it has run out
+        most = {s: max((r["slot"] for r in got if r["source"] == s), default=-1) for s in weights}
+        for s, w in weights.items():
+            taken = sorted({r["slot"] for r in got if r["source"] == s})
+            for now in range(most[s] + 1):
+                assert abs(sum(x <= now for x in taken) - (now + 1) * w / sum(weights.values())) < 1
+
+
+def test_stage_keeps_columns_of_the_same_names(spark):
+    rows = [(1, "a text", "x", 777, 778, "mine"), (2, "another", None, 1, 2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, slot int, position int, score string")
+    same([tuple(r) for r in mixing.in_mixed_order(df).collect()], rows)
+    got = [tuple(r) for r in quality.keep_good(spark, df, SF, least=0.0).collect()]
+    same(got, rows)
+
+
 def test_ranks_in_many_buckets(spark, docs):
     rows = mixing.source_ranks(docs, docs.count(), docs["source"], "doc_id", per_bucket=10).collect()
     by = defaultdict(list)
@@ -188,9 +266,72 @@ def test_quality_on_awkward_rows(spark):
     assert quality.fit(["x"], ["y"]).level == 3
 
 
+def brute_score(text, model):
+    """From plain zstandard: blocks of 512 bytes compressed with either dictionary, and the curve."""
+    import zstandard
+
+    raw, total = (text or "").encode(), [0, 0]
+    for k, d in enumerate((model.good, model.bad)):
+        c = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+        total[k] = sum(len(c.compress(raw[at : at + 512])) for at in range(0, len(raw), 512))
+    x = (total[1] - total[0]) / (total[0] + total[1]) if raw else 0.0
+    return 1 / (1 + math.exp(-(model.slope * x + model.offset)))
+
+
+def test_scores_are_plain_zstandards(spark, plain, docs):
+    model = quality.learned(spark, docs, SF)
+    assert len(model.good) > 1000 and len(model.bad) > 1000 and model.slope > 0
+    for df, rows in both(spark, plain):
+        got = sorted((str(r["doc_id"]), r["text"] or "", r["score"]) for r in quality.score(df, model, score_col="score").select("doc_id", "text", "score").collect())
+        want = sorted((str(i), t or "", brute_score(t, model)) for i, t in rows)
+        assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-9)
+
+
+def test_held_out_labels_teach_nothing(spark, docs, tmp_path):
+    labels = table(spark, SF, "labels")
+    flipped = labels.withColumn("quality", quality.F.when(quality.F.expr(quality.HELD_OUT), 1 - labels["quality"]).otherwise(labels["quality"]))
+    assert flipped.exceptAll(labels).count() > 0
+    flipped.write.parquet(str(tmp_path / "labels.parquet"))
+    assert quality.learned(spark, docs, str(tmp_path)) == quality.learned(spark, docs, SF)
+
+
 # 5 fingerprints
 
 
+def brute_likeness(a, b):
+    """From the sums of signs of the hash bits of neighbouring words, over paragraphs."""
+    import xxhash
+
+    def units(text):
+        out = []
+        for line in filter(None, text.split("\n")):
+            w = line.split(" ")
+            for k, x in enumerate(w):
+                h = xxhash.xxh64_intdigest(x.encode(), seed=42)
+                out.append(xxhash.xxh64_intdigest(w[k + 1].encode(), seed=h) if k + 1 < len(w) else h)
+        return np.array(out, np.uint64)
+
+    def signs(text):
+        u = units(text)
+        return np.array([2 * int(((u >> np.uint64(k)) & np.uint64(1)).sum()) - len(u) for k in range(64)], float)
+
+    if sorted(filter(None, a.split("\n"))) == sorted(filter(None, b.split("\n"))):
+        return 1.0
+    x, y = signs(a), signs(b)
+    both = (x**2).mean() + (y**2).mean()
+    return max(0.0, min(1.0, 1 - ((x - y) ** 2).mean() / (both or 1.0)))
+
+
+def test_likeness_is_that_of_the_sign_sums(spark, plain):
+    rows = [(i, t[:3000]) for i, t in plain[:80]] + [(1000, ""), (1001, "one"), (1002, "one\n\none"), (1003, "a  b\n a")]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(frame(spark, rows)).collect()}
+    order, after = neighbours(rows)
+    for (i, t), (_, u) in zip(order, after, strict=True):
+        half = len(t) // 2
+        assert got[i]["near_next"] == pytest.approx(brute_likeness(t, u), abs=1e-9)
+        assert got[i]["near_edited"] == pytest.approx(brute_likeness(t, t[: len(t) - half] + u[:half]), abs=1e-9)
+
+
 def neighbours(rows):
     order = sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0]) + [r for r in rows if r[0] is None]
     return order, order[1:] + order[:1]
@@ -277,6 +418,32 @@ def test_near_groups_of_many_near_copies(spark, plain, monkeypatch):
     same(near_dup.near_groups(frame(spark, rows)).collect(), brute_near(rows))
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_near_groups_of_subclusters_around_a_common_passage(spark, monkeypatch, block):
+    """Clusters that hold one passage but don't link, members far from their cluster's centre that link to each other only, halves without words of their own, and null ids."""
+    monkeypatch.setattr(near_dup, "HOT", 4)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for c in range(5):
+        own = passage + [f"c{c}x{k}" for k in range(20 + 30 * c)]
+        for _ in range(14):
+            w = list(own)
+            for x in rng.integers(0, len(w), rng.integers(0, 5)):
+                w[x] = f"n{rng.integers(6)}"
+            rows.append(w)
+        for _ in range(6):  # pieces of the cluster's text alone: no rare shingles at all
+            a = int(rng.integers(0, len(own) // 2))
+            rows.append(own[a : a + int(rng.integers(len(own) // 3, len(own)))])
+        far = own[: len(own) // 2] + [f"f{c}y{k}" for k in range(len(own) // 2)]
+        rows += [far, [*far[:-1], "z"], [*far[1:]]]
+    rows += [[f"w{rng.integers(40)}" for _ in range(rng.integers(1, 9))] for _ in range(30)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    rows += [(None, rows[0][1] + " more"), (None, "only here twice and linked to each other by most of their words a b c d e f g"), (None, "only here twice and linked to each other by most of their words a b c d e f h"), (900, "only here twice and linked to each other by most of their words a b c d e f")]
+    same(near_dup.near_groups(frame(spark, rows)).collect(), brute_near(rows))
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -309,6 +476,24 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_each_record_is_a_gzip_member(spark):
+    path = scratch_path(spark, "t")
+    pages = spark.createDataFrame([(k, "u", f"page {k} " * (1 + 3000 * (k == 3))) for k in range(6)], "page_id long, url string, html string")
+    warc.write_warc(pages.coalesce(1), path, segment=4096)
+    files = spark.read.format("binaryFile").load(path + "/*.warc.gz").collect()
+    members, records = 0, 0
+    for f in files:
+        rest = f["content"]
+        while rest:
+            d = zlib.decompressobj(31)
+            text = d.decompress(rest)
+            assert d.eof and text.startswith(b"WARC/1.1\r\n") and text.endswith(b"\r\n\r\n")
+            records += len(list(warc.read_records(__import__("io").BytesIO(text))))
+            members, rest = members + 1, d.unused_data
+    assert members == records > 6
+    assert sorted((r["page_id"], r["intact"]) for r in warc.read_warc(spark, path).collect()) == [(k, True) for k in range(6)]
+
+
 def test_broken_segments_are_told():
     blocks = [{"origin": "<urn:page:3:0.1>", "number": n, "total": None, "digest": "", "block": b"x"} for n in (1, 3)]
     assert warc.reassembled(blocks) == (3, None, None, "response", None, False)
@@ -361,22 +546,28 @@ def test_licence_tags_with_more_on_their_line():
 # 9 byte spans
 
 
-def brute_bytes(rows, span):
-    starts = defaultdict(list)
+def brute_bytes(df, rows, span=400, least=256):
     raws = [(t or "").encode() for _, t in rows]
-    for d, raw in enumerate(raws):
-        for k in range(len(raw) - span + 1):
-            starts[raw[k : k + span]].append((d, k))
-    gone = [bytearray(len(r)) for r in raws]
-    for where in starts.values():
-        if len(where) > 1:
+    tags = {(r["doc_id"], r["text"]): r["tag"] for r in df.selectExpr("doc_id", "text", "xxhash64(text) as tag").collect()}
+    place = [(-(1 << 63) if i is None else i, tags[i, t]) for i, t in rows]
+
+    def left(size, hit):
+        """Per row: bytes that go, their runs, and the bytes that stay, where ``hit`` tells if the string at a place goes."""
+        starts = defaultdict(list)
+        for d, raw in enumerate(raws):
+            for k in range(len(raw) - size + 1):
+                starts[raw[k : k + size]].append((d, k))
+        gone = [bytearray(len(r)) for r in raws]
+        for where in starts.values():
+            first = min((*place[d], k) for d, k in where)
             for d, k in where:
-                gone[d][k : k + span] = b"\1" * span
-    out = []
-    for (i, _), raw, flags in zip(rows, raws, gone, strict=True):
-        kept = bytes(b for b, f in zip(raw, flags, strict=True) if not f)
-        out.append((i, len(raw), len(raw) - len(kept), len(re.findall(b"\1+", bytes(flags))), kept))
-    return out
+                if hit(len(where), (*place[d], k) != first):
+                    gone[d][k : k + size] = b"\1" * size
+        kept = [bytes(b for b, f in zip(raw, flags, strict=True) if not f) for raw, flags in zip(raws, gone, strict=True)]
+        return [(len(raw) - len(k), len(re.findall(b"\1+", bytes(f))), k) for raw, k, f in zip(raws, kept, gone, strict=True)]
+
+    both = zip(rows, raws, left(span, lambda n, later: n > 1), left(least, lambda n, later: later), strict=True)
+    return [(i, len(raw), *whole, *later) for (i, _), raw, whole, later in both]
 
 
 def crafted(plain):
@@ -396,28 +587,60 @@ def test_repeated_bytes(spark, plain):
     short = [r for r in texts() if len(r[1] or "") < 10_000]
     long_ones = [(200, "x" * 50 + " ".join(map(str, range(9000)))), (201, " ".join(map(str, range(9000))))]
     for rows in (short, crafted(plain), [*long_ones, *long_ones[:1]], []):
-        same(byte_spans.repeated_bytes(frame(spark, rows)).collect(), brute_bytes(rows, 400))
+        df = frame(spark, rows)
+        same(byte_spans.repeated_bytes(df).collect(), brute_bytes(df, rows))
 
 
 def test_repeated_bytes_of_hot_cores(spark, plain):
     rows = crafted(plain)
-    same(byte_spans.repeated_bytes(frame(spark, rows), hot=2).collect(), brute_bytes(rows, 400))
+    df = frame(spark, rows)
+    want = brute_bytes(df, rows)
+    same(byte_spans.repeated_bytes(df, hot=2).collect(), want)
+    same(byte_spans.repeated_bytes(df, span=256).select("doc_id", "n_removed", "kept_first").collect(), [(i, n, k) for (i, _, n, *_), (*_, k) in zip(brute_bytes(df, rows, 256), want, strict=True)])
+
+
+def test_cores_that_fill_several_chunks(spark, plain):
+    """Runs of equal windows and hot cores go on from one chunk of rows to the next."""
+    rows = crafted(plain)
+    df = frame(spark, rows)
+    tagged = df.selectExpr("doc_id as _id", "xxhash64(text) as _tag", "text as _text")
+    by = lambda chunk, hot: byte_spans._by_core(byte_spans._anchor_rows(tagged, 400, 256, 128).repartition(2, "_core").sortWithinPartitions("_core", "_w1", "_w2", "_id", "_tag", "_at"), 400, hot, chunk)
+    for hot in (2, 20_000):
+        whole, cut = ({(r["_kind"], r["_core"], r["_w1"], r["_id"], r["_at"]) for r in by(c, hot).where("_kind < 8").collect()} for c in (200_000, 3))
+        assert {r[1:] for r in whole} == {r[1:] for r in cut} if hot > 2 else {r[1:] for r in whole} <= {r[1:] for r in cut}
 
 
 def test_longest_previous():
-    from paperloom.llm.factors import longest_previous, prefix_ranks
+    from paperloom.llm.factors import longest_previous
 
     rng = np.random.default_rng(2)
     for n in (0, 1, 5, 60):
         t = bytes(rng.integers(97, 99, n).astype(np.uint8))
         brute = [max([0, *(next(k for k in range(n + 1) if i + k == n or t[i + k] != t[j + k]) for j in range(i))]) for i in range(n)]
         assert longest_previous(t).tolist() == brute
-        for span in (1, 3, 8, 13):
-            ranks = prefix_ranks(np.frombuffer(t, np.uint8), span)
-            for i in range(n):
-                for j in range(n):
-                    if i + span <= n and j + span <= n:
-                        assert (ranks[i] == ranks[j]) == (t[i : i + span] == t[j : j + span])
+
+
+def test_factors_of_windows_of_one_core():
+    """Strings around a core, against a comparison of all pairs."""
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(2, 14))
+        lefts = rng.integers(0, 9, n)
+        windows = [bytes(rng.integers(97, 99, x).astype(np.uint8)) + b"core" + bytes(rng.integers(97, 99, rng.integers(0, 9)).astype(np.uint8)) for x in lefts.tolist()]
+        places = [(int(x),) for x in rng.permutation(n)]
+        got = byte_spans.settle_cores([7] * n, windows, lefts.tolist(), places, 10, 7)
+        for x in range(n):
+            want = [0, 0, 0, 0]
+            for y in range(n):
+                if x == y:
+                    continue
+                a, b, c, d = windows[x][: lefts[x]][::-1], windows[y][: lefts[y]][::-1], windows[x][lefts[x] :], windows[y][lefts[y] :]
+                common = lambda p, q: next((k for k, (u, v) in enumerate(zip(p, q)) if u != v), min(len(p), len(q)))
+                h, r = common(a, b), common(c, d)
+                for k, size, ok in ((0, 10, True), (2, 7, places[y] < places[x])):
+                    if ok and h + r >= size:
+                        want[k], want[k + 1] = max(want[k], h), max(want[k + 1], r)
+            assert list(got[x]) == want
 
 
 # 10 sentence spans
@@ -446,6 +669,42 @@ def test_repeated_spans(spark, plain):
         same(sentence_spans.repeated_spans(df).collect(), brute_spans(rows))
 
 
+def plain_sentences(text):
+    """Sentences by a walk over characters: a piece ends behind a line feed, or where white space follows a full stop, question or exclamation mark."""
+    out, now = [], ""
+    for k, c in enumerate(text):
+        if c == "\n" or c.isspace() and now and (now[-1] in ".!?" or not now.strip()):
+            if now.strip():
+                out.append(now)
+            now = ""
+        else:
+            now += c
+    return [x.split() for x in [*out, now] if x.strip()]
+
+
+def test_repeated_runs_of_sentences_go(spark, plain):
+    """All runs of up to twelve sentences compared as words: three or more with ten words, or fewer with twenty."""
+    rows = [(i, " ".join(t.split(" "))) for i, t in plain if len(t) < 6000][:150]
+    rows += [(2000 + k, "It is. So! " * (k + 1) + "Then nothing more. " + rows[k][1][:700]) for k in range(20)]
+    seen, want = set(), {}
+    for i, t in rows:
+        words = plain_sentences(t)
+        gone = set()
+        for a in range(len(words)):
+            for b in range(a, min(a + 12, len(words))):
+                n = sum(map(len, words[a : b + 1]))
+                if n >= (10 if b - a >= 2 else 20):
+                    key = tuple(tuple(w) for w in words[a : b + 1])
+                    if key in seen:
+                        gone |= set(range(a, b + 1))
+                    seen.add(key)
+        want[i] = (len(words), len(gone), [w for k, w in enumerate(words) if k not in gone])
+    assert sum(g for _, g, _ in want.values()) > 50
+    for r in sentence_spans.repeated_spans(frame(spark, rows)).collect():
+        n, gone, kept = want[r["doc_id"]]
+        assert (r["n_sentences"], r["n_removed"]) == (n, gone) and r["kept_text"].split() == [x for w in kept for x in w]
+
+
 def test_a_planted_passage_goes_where_it_comes_again(spark):
     passage = "Here is a passage of some length. It has a second sentence with more words in it, and goes on. Then a third one ends it for good."
     rows = [(k, f"Text {k} begins in its own way. {passage} And text {k} ends in its own way.") for k in range(5)]

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 from rows import frame, texts
-from test_llm_operators import brute_exact, brute_near
+from test_llm_operators import brute_exact, brute_near, brute_score
 
 from paperloom.llm import mixing, packing, quality
 from paperloom.runtime import Scratch, scratch_path, table
@@ -73,16 +73,42 @@ def test_sequences_follow_the_mix_after_the_table_is_read_again(spark):
             spark.conf.set(k, v)
 
 
+def whole(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
 def test_stages_stand_awkward_rows(spark):
+    """Nulls, empty and long texts, ties, repeated rows and clashing names: every column of what stays is as it was."""
     bare = lambda t: re.sub("[ \t-\r]", "", t or "")
     rows = [*texts(), texts()[0], (None, None)]
-    docs = frame(spark, rows)
+    docs = frame(spark, rows).withColumn("position", mixing.F.lit(5))
     stages = dict(corpus_pipeline.STAGES)
+    model = quality.learned(spark, table(spark, SF, "documents"), SF)
+    good = stages["quality"](spark, docs.select("*"), SF)
+    assert good.columns == docs.columns and set(whole(good)) <= set(whole(docs))
+    got = quality.score(docs, model, score_col="_p").select("doc_id", "text", "_p").collect()
+    assert len(got) == len(rows) and all(abs(r["_p"] - brute_score(r["text"], model)) < 1e-9 for r in got)
     once = Scratch(stages["exact"](spark, docs, SF), "t").df
     assert sorted(bare(r["text"]) for r in once.collect()) == sorted({bare(t) for _, t in rows})
+    assert once.columns == docs.columns and set(whole(once)) <= set(whole(docs))
     apart = Scratch(stages["near"](spark, once, SF), "t").df
-    assert 0 < apart.count() < once.count() and apart.columns == docs.columns
-    assert pairs(stages["mixing"](spark, apart, SF)) == pairs(apart)
+    assert 0 < apart.count() < once.count() and apart.columns == docs.columns and set(whole(apart)) <= set(whole(once))
+    mixed = stages["mixing"](spark, apart, SF)
+    assert mixed.columns == docs.columns and whole(mixed) == whole(apart)
+    encode, tokens = packing.word_bpe(packing.public_path()), defaultdict(int)
+    for r in stages["packing"](spark, docs, SF).collect():
+        tokens[r["doc_id"]] += r["length"]
+    want = defaultdict(int)
+    for i, t in rows:
+        want[i] += len(encode(t)) // 4
+    assert tokens == want
     empty = frame(spark, [])
     for name in ("quality", "exact", "near", "mixing", "packing"):
         assert stages[name](spark, empty, SF).count() == 0
+
+
+def test_quality_stage_keeps_what_plain_scores_keep(spark):
+    docs = table(spark, SF, "documents")
+    model = quality.learned(spark, docs, SF)
+    want = [(r["doc_id"], r["text"]) for r in docs.collect() if brute_score(r["text"], model) >= 0.5]
+    assert pairs(dict(corpus_pipeline.STAGES)["quality"](spark, docs, SF)) == sorted(want, key=str) and len(want) < docs.count()
