@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.runtime import table
+from paperloom.runtime import spread, table
 
 #: Wide lanes (sums modulo 2^32 of halves of hashes of whole paragraphs) and sign lanes (sums modulo 2^24 of single hash bits of word pairs).
 WIDE, SIGNS = 8, 64
@@ -70,36 +71,42 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_bucket(docs: DataFrame, bounds: list[int]) -> DataFrame:
-    """``docs`` with ``_bucket``: how many of the rising bounds are at most ``_id`` (0 for null), by a two-level search in literal arrays."""
+    """``docs`` with ``_bucket``: how many of the rising bounds are at most ``_id`` (0 for null).
+
+    A search in two steps: among every so many-th bound, which stand in the plan, about as many as the root of their number; then in a table of the bounds between, eight bytes each.
+    """
     if not bounds:
         return docs.withColumn("_bucket", F.lit(0))
     step = max(1, math.isqrt(len(bounds)))
-    rows = [bounds[k : k + step] for k in range(0, len(bounds), step)]
-    array = lambda xs: "array(" + ",".join(f"cast({x} as bigint)" for x in xs) + ")"
-    nested = "array(" + ",".join(map(array, rows)) + ")"
-    below = lambda xs: F.when(F.col("_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(xs, lambda x: x <= F.col("_id"))))
-    fine = below(F.element_at(F.expr(nested), F.greatest(F.col("_coarse"), F.lit(1))))
-    found = docs.withColumn("_coarse", below(F.expr(array([r[0] for r in rows]))))
-    return found.withColumn("_bucket", F.when(F.col("_coarse") == 0, F.lit(0)).otherwise((F.col("_coarse") - 1) * step + fine)).drop("_coarse")
+    fine = [(k // step + 1, k, bounds[k : k + step]) for k in range(0, len(bounds), step)]
+    coarse = F.expr("array(" + ",".join(f"cast({xs[0]} as bigint)" for _, _, xs in fine) + ")")
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("_id")))
+    between = docs.sparkSession.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*fine, strict=True), (pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], names=["_step", "_before", "_bounds"]))
+    found = docs.withColumn("_step", F.when(F.col("_id").isNull(), F.lit(0)).otherwise(below(coarse))).join(F.broadcast(between), "_step", "left")
+    return found.withColumn("_bucket", F.when(F.col("_step") == 0, F.lit(0)).otherwise(F.col("_before") + below(F.col("_bounds")))).drop("_step", "_before", "_bounds")
+
+
+#: Buckets at most. Beyond that many of BUCKET_BYTES they grow: 100 TB makes a million of 100 MB, whose bounds are 8 MB.
+MOST_BUCKETS, BUCKET_BYTES = 1 << 20, 8 << 20
 
 
-def with_next(docs: DataFrame, bucket_bytes: int = 8 << 20, most_buckets: int = 1 << 16) -> DataFrame:
+def with_next(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` (_id, _text) with ``_bucket``, ``_row``, ``_guest`` and ``_next``, the text of the next row in descending order of the id.
 
-    Ids are cut at quantiles into buckets of about ``bucket_bytes`` of text, ``most_buckets`` at most, and texts are shuffled once, by bucket. What follows a bucket's last row
-    is the first row of the bucket below (of the lowest: of the topmost), which is sent to it as a guest row.
+    Ids are cut at quantiles into buckets of about ``bucket_bytes`` of text, and texts are shuffled once, by bucket. What follows a bucket's last row
+    is the first row of the bucket below (of the lowest: of the topmost), which is sent to it as a guest row. The driver gets the bounds of the buckets; the first rows' ids are a table of a row for each bucket, sixteen bytes each.
     """
-    spark = docs.sparkSession
     known = docs.agg(F.sum(F.octet_length("_text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    wanted = max(1, min(most_buckets, -(-(known["bytes"] or 0) // bucket_bytes), known["n"]))
+    wanted = max(1, min(MOST_BUCKETS, -(-(known["bytes"] or 0) // bucket_bytes), known["n"]))
     bounds: list[int] = []
     if wanted > 1:
         probabilities = [k / wanted for k in range(1, wanted)]
-        bounds = sorted({int(x) for x in docs.where("_id is not null").select(F.col("_id").cast("double").alias("_id")).approxQuantile("_id", probabilities, 1 / (8 * wanted))})
+        bounds = sorted({int(x) for x in docs.where("_id is not null").select(F.col("_id").cast("double").alias("_id")).approxQuantile("_id", probabilities, max(1 / (8 * wanted), 1e-6))})
     rows = with_bucket(docs, bounds)
-    tops = sorted((r["_bucket"], r["_top"]) for r in rows.groupBy("_bucket").agg(F.max("_id").alias("_top")).collect())  # a row for each bucket
-    above = [b for b, _ in tops[1:]] + [b for b, _ in tops[:1]]
-    guests = spark.createDataFrame([(top, to) for (_, top), to in zip(tops, above, strict=True)], "_top long, _to int")
+    tops = rows.groupBy("_bucket").agg(F.max("_id").alias("_top"))
+    around = Window.orderBy("_bucket")  # a row for each bucket
+    whole = Window.partitionBy()
+    guests = tops.select("_top", F.coalesce(F.lead("_bucket").over(around), F.min("_bucket").over(whole)).alias("_to"))
     joined = rows.join(F.broadcast(guests), rows["_id"].eqNullSafe(guests["_top"]), "left")
     stay = F.struct(F.col("_bucket").alias("bucket"), F.lit(0).alias("guest"))
     places = F.when(F.col("_to").isNull(), F.array(stay)).otherwise(F.array(stay, F.struct(F.col("_to").alias("bucket"), F.lit(1).alias("guest"))))
@@ -146,4 +153,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op5_fingerprints(spark, sf_dir):
     """``fingerprints`` over all ``documents``."""
-    return fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
