@@ -31,10 +31,10 @@ def elements_of_page(spark, sf):
     return library.elements_of(_elements(spark, sf), ["table", "figure"], ["methods", "results"], 4, True).select("element_id")
 
 
-@query("search_in_elements", twin(_ELEMENTS, "SELECT element_id, paper_id FROM input WHERE contains(lower(search_text), 'ring eco') AND paper_id IN (1, 2, 3, 4, 5) ORDER BY paper_id, ord LIMIT 200"))
+@query("search_in_elements", twin(_ELEMENTS, "SELECT element_id, paper_id FROM input WHERE contains(lower(search_text), 'standard') AND paper_id IN (1, 2, 3, 4, 5) ORDER BY paper_id, ord LIMIT 200"))
 def search_in_elements(spark, sf):
     """Elements of five papers that hold a needle, the first two hundred."""
-    return library.search_elements(_elements(spark, sf), "RING Eco", [1, 2, 3, 4, 5]).select("element_id", "paper_id")
+    return library.search_elements(_elements(spark, sf), "STANDard", [1, 2, 3, 4, 5]).select("element_id", "paper_id")
 
 
 @query("valid_elements", twin(_ELEMENTS, "SELECT element_id, CASE kind WHEN 'sidebar' THEN 'other' ELSE kind END AS kind, CASE section WHEN 'preamble' THEN 'unknown' ELSE section END AS section FROM input"))
