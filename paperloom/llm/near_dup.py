@@ -95,7 +95,7 @@ def _class_of(s: np.ndarray, salt: int) -> tuple[int, int]:
 
 
 def _sets(docs: DataFrame, salt: int) -> DataFrame:
-    """Of each row: _id, _n (shingles), _node (its class of equal sets, null if empty), _check, _sketch."""
+    """Of each row (_id, _text, _row): _id, _row, _n (shingles), _node (its class of equal sets, null if empty), _check, _sketch."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,9 +107,9 @@ def _sets(docs: DataFrame, salt: int) -> DataFrame:
                 nodes.append(node)
                 checks.append(check)
                 sketches.append(parity_sketch(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sketches, pa.binary())], names=["_id", "_n", "_node", "_check", "_sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sketches, pa.binary()), b.column(2)], names=["_id", "_n", "_node", "_check", "_sketch", "_row"])
 
-    return docs.mapInArrow(mapped, "_id long, _n long, _node long, _check long, _sketch binary")
+    return docs.mapInArrow(mapped, "_id long, _n long, _node long, _check long, _sketch binary, _row long")
 
 
 def _keys(docs: DataFrame, salt: int) -> DataFrame:
@@ -239,24 +239,24 @@ def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, salt: int) -> DataFrame:
-    """_node, _set (sorted hashes as bytes) of classes ``wanted`` (_node), made again from the text of one row of each."""
-    texts = docs.join(nodes.select("_node", F.coalesce("_doc", F.lit(-(1 << 63))).alias("_row")).join(wanted, "_node"), "_row").select("_node", "_text")
+    """_node, _set (sorted hashes as bytes) of classes ``wanted`` (_node), each once, made again from the text of one row of each."""
+    texts = docs.join(nodes.select("_node", F.col("_any").alias("_row")).join(wanted, "_node"), "_row").select("_node", "_text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()  # rows that repeat an id and a text make a class once in a task
+        done: set[int] = set()
         for b in batches:
             node, made = [], []
             for n, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if n in done:
                     continue
                 s = shingle_set(t.as_py())
-                if len(s) and _class_of(s, salt)[0] == n:  # rows may repeat an id with other texts
+                if len(s) and _class_of(s, salt)[0] == n:  # hashes of texts may collide
                     done.add(n)
                     node.append(n)
                     made.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(made, pa.binary())], names=["_node", "_set"])
 
-    return texts.mapInArrow(sets, "_node long, _set binary")
+    return texts.mapInArrow(sets, "_node long, _set binary").groupBy("_node").agg(F.any_value("_set").alias("_set"))  # rows that repeat another's id and text are in several tasks
 
 
 def _as_numbers(sets: DataFrame) -> DataFrame:
@@ -403,12 +403,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts have no shingles and link to nothing, each its own component. Repeated rows are one class. A null id is its own component if it is alone or with other null ids only. An empty table gives an empty result. Other columns are ignored.
     Returns: the id column, n_shingles, component_id.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_row", F.coalesce("_id", F.lit(-(1 << 63))))
+    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_row", F.xxhash64("_id", "_text"))  # finds a row again, whatever ids repeat or are null
     spark = docs.sparkSession
     bounded_batches(spark)
     for salt in range(8):
         sets = Scratch(_sets(docs, salt), "near-sets")
-        nodes = sets.df.where("_node is not null").groupBy("_node").agg(F.min("_id").alias("_doc"), F.min("_n").alias("_n"), F.min("_check").alias("_c1"), F.max("_check").alias("_c2"), F.any_value("_sketch").alias("_sketch"))
+        nodes = sets.df.where("_node is not null").groupBy("_node").agg(F.min("_id").alias("_doc"), F.min("_row").alias("_any"), F.min("_n").alias("_n"), F.min("_check").alias("_c1"), F.max("_check").alias("_c2"), F.any_value("_sketch").alias("_sketch"))
         nodes = Scratch(nodes, "near-nodes")
         if nodes.df.where("_c1 != _c2").isEmpty():
             break

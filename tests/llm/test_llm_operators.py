@@ -441,7 +441,8 @@ def test_near_groups_of_subclusters_around_a_common_passage(spark, monkeypatch,
     rows += [[f"w{rng.integers(40)}" for _ in range(rng.integers(1, 9))] for _ in range(30)]
     rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
     rows += [(None, rows[0][1] + " more"), (None, "only here twice and linked to each other by most of their words a b c d e f g"), (None, "only here twice and linked to each other by most of their words a b c d e f h"), (900, "only here twice and linked to each other by most of their words a b c d e f")]
-    same(near_dup.near_groups(frame(spark, rows)).collect(), brute_near(rows))
+    rows += [rows[0]] * 9 + [(None, rows[20][1])] * 9 + [(901, t) for _, t in rows[40:60]]  # repeated rows, null ids, an id of many texts
+    same(near_dup.near_groups(frame(spark, rows).repartition(7)).collect(), brute_near(rows))
 
 
 def test_sketches_bound_the_difference():
