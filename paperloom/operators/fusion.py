@@ -60,15 +60,43 @@ def pin_labels(ranked: DataFrame, chunks: DataFrame, queries: DataFrame, limit:
     """A ranking (query_id, doc_id, score, rank) with the chunks whose label a query names in front, at score 1.
 
     ``chunks`` has (doc_id, paper_id, ord, label), ``queries`` (query_id, text). Both spellings of a label count as one.
+
+    Queries that name the same labels have the same pins in the same order, which is found once for them all. Only where the ranking itself decides between pins, as it does when a ranked one shares its place in its paper
+    with another or is ranked twice, is a query's list made by itself.
     """
+    ranked = ranked.select("query_id", "doc_id", "score", "rank")
     named = queries.select("query_id", F.explode(label_references(F.col("text"))).alias("_label")).distinct()
-    pins = chunks.where("label != ''").withColumn("_label", canonical_label(F.col("label"))).join(named, "_label").groupBy("query_id", "doc_id").agg(F.min(F.struct("paper_id", "ord")).alias("_at"))
-    rows = ranked.select("query_id", "doc_id", "score", "rank").join(pins.select("query_id", "doc_id", "_at"), ["query_id", "doc_id"], "full")
-    order = Window.partitionBy("query_id").orderBy(F.col("_at").isNull(), "_at", "rank", "doc_id")
-    out = rows.select("query_id", "doc_id", F.when(F.col("_at").isNotNull(), 1.0).otherwise(F.col("score")).alias("score"), F.col("_at").isNotNull().alias("pinned"), F.row_number().over(order).cast("long").alias("rank"))
+    labelled = chunks.where("label != ''").select("doc_id", canonical_label(F.col("label")).alias("_label"), F.struct("paper_id", "ord").alias("_at"))
+    known = named.join(labelled.select("_label").distinct(), "_label", "left_semi")
+    by_query = known.groupBy("query_id").agg(F.array_sort(F.collect_set("_label")).alias("_labels"))
+    kinds = by_query.groupBy("_labels").agg(F.min("query_id").alias("_kind"))
+    asked = by_query.join(kinds, "_labels").select("query_id", "_kind")
+
+    met = ranked.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("_n")).join(labelled.select("doc_id", "_label").distinct(), "doc_id").join(known, ["query_id", "_label"]).select("query_id", "doc_id", "_n").distinct()
+    place = Window.partitionBy("_at")
+    shared = labelled.select("doc_id", (F.min("doc_id").over(place) != F.max("doc_id").over(place)).alias("_shared")).where("_shared").select("doc_id").distinct()
+    odd = met.where("_n > 1").unionByName(met.join(shared, "doc_id", "left_semi").select(*met.columns)).select("query_id").unionByName(by_query.where("query_id is null").select("query_id")).distinct().toDF("_odd")
+    here = F.col("query_id").eqNullSafe(F.col("_odd"))
+
+    # dealt by kind at once, so neither the first place of each chunk nor the order moves rows again
+    lists = kinds.select("_kind", F.explode("_labels").alias("_label")).join(labelled, "_label").select("_kind", "doc_id", "_at").repartition("_kind").groupBy("_kind", "doc_id").agg(F.min("_at").alias("_at"))
+    lists = lists.withColumn("_place", F.row_number().over(Window.partitionBy("_kind").orderBy("_at", "doc_id")).cast("long"))
+    pinned = lists.join(asked.join(odd, here, "left_anti"), "_kind").select("query_id", "doc_id", F.lit(1.0).alias("score"), F.lit(True).alias("pinned"), F.col("_place").alias("rank"))
+    pins = asked.join(lists.groupBy("_kind").agg(F.max("_place").alias("_pins")), "_kind").select("query_id", "_pins")
+    others = ranked.join(met.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").join(odd, here, "left_anti").withColumn("_rn", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc_id")).cast("long"))
+    others = others.join(pins, "query_id", "left").select("query_id", "doc_id", "score", F.lit(False).alias("pinned"), (F.coalesce("_pins", F.lit(0)) + F.col("_rn")).alias("rank"))
+    out = pinned.unionByName(others).unionByName(_pinned_each(ranked.join(odd, here, "left_semi"), labelled, named.join(odd, here, "left_semi")))
     return out if limit is None else out.where(F.col("rank") <= limit)
 
 
+def _pinned_each(ranked: DataFrame, labelled: DataFrame, named: DataFrame) -> DataFrame:
+    """``pin_labels`` with a list for each query: chunks (doc_id, _label, _at) and queries (query_id, _label)."""
+    pins = labelled.join(named, "_label").groupBy("query_id", "doc_id").agg(F.min("_at").alias("_at"))
+    rows = ranked.join(pins.select("query_id", "doc_id", "_at"), ["query_id", "doc_id"], "full")
+    order = Window.partitionBy("query_id").orderBy(F.col("_at").isNull(), "_at", "rank", "doc_id")
+    return rows.select("query_id", "doc_id", F.when(F.col("_at").isNotNull(), 1.0).otherwise(F.col("score")).alias("score"), F.col("_at").isNotNull().alias("pinned"), F.row_number().over(order).cast("long").alias("rank"))
+
+
 def rerank(ranked: DataFrame, score: Column | None = None, top: int = RERANK) -> DataFrame:
     """A ranking ordered anew by a scorer over its rows, cut to ``top``; without a scorer it stays as it is."""
     if score is None:
